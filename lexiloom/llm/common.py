@@ -17,10 +17,14 @@ def work_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the work folder and read it back: the result survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiloom_path = path

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
-from .common import fold, table
+from . import binary, neardup, packing, quality, toxicity
+from .common import fold, new_path, table
+
+SEQUENCE_TOKENS = 4096
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +32,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenize_pieces(docs, tokenizer_path=tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=SEQUENCE_TOKENS)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, capacity=SEQUENCE_TOKENS)
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "token-file")
+    binary.write_tokens(docs, path, tokenizer_path=tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return binary.read_tokens(spark, path, derive={"ids_crc32": F.crc32("ids")})
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_near_dedup": op4_near_dedup, "op6_packing": op6_packing, "op8_token_file": op8_token_file, "op10_quality": op10_quality}
+
+OP4_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), i -> array_to_string(w[i : i + 4], ' '))) end as s from words
+), items as (
+  select doc_id, len(s) as n, unnest(s) as g from sets
+), shared as (
+  select a.doc_id as u, b.doc_id as v, any_value(a.n) + any_value(b.n) - count(*) as either, count(*) as both_
+  from items a join items b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select u, v from shared where 100 * both_ >= 85 * either
+), reach as (
+  select doc_id as node, doc_id as other from sets
+  union
+  select r.node, l.v as other from reach r join links l on r.other = l.u
+), least as (
+  select node, min(other) as component_id from reach group by 1
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least on doc_id = node
+"""
+
+ORACLES: dict[str, str] = {"op4_near_dedup": OP4_SQL}
