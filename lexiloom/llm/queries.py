@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, neardup, packing, quality, toxicity
+from . import binary, neardup, packing, quality, secrets, toxicity
 from .common import fold, new_path, table
 
 SEQUENCE_TOKENS = 4096
@@ -36,6 +36,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.find_secrets(docs, secrets.fit_markov(docs)).select("doc_id", "secret_spans")
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind"] != "markov")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.tokenize_pieces(docs, tokenizer_path=tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=SEQUENCE_TOKENS)
@@ -50,13 +62,13 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, path, derive={"ids_crc32": F.crc32("ids")})
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_near_dedup": op4_near_dedup, "op6_packing": op6_packing, "op8_token_file": op8_token_file, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_near_dedup": op4_near_dedup, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_token_file": op8_token_file, "op10_quality": op10_quality}
 
 OP4_SQL = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
 ), sets as (
-  select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), i -> array_to_string(w[i : i + 4], ' '))) end as s from words
+  select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from words
 ), items as (
   select doc_id, len(s) as n, unnest(s) as g from sets
 ), shared as (
