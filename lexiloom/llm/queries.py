@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, neardup, packing, quality, secrets, toxicity
+from . import binary, neardup, packing, quality, secrets, topk, toxicity, vectordup
 from .common import fold, new_path, table
 
 SEQUENCE_TOKENS = 4096
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity_label").alias("predicted"), F.to_json("toxicity_evidence").alias("evidence"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.vector_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
@@ -32,6 +36,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return topk.top_k(rows.where("vec_id % 100 = 0"), rows, k=10)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +71,7 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, path, derive={"ids_crc32": F.crc32("ids")})
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_near_dedup": op4_near_dedup, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_token_file": op8_token_file, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op4_near_dedup": op4_near_dedup, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_token_file": op8_token_file, "op9_vector_dedup": op9_vector_dedup, "op10_quality": op10_quality}
 
 OP4_SQL = r"""
 with recursive words as (
@@ -86,4 +95,33 @@ with recursive words as (
 select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least on doc_id = node
 """
 
-ORACLES: dict[str, str] = {"op4_near_dedup": OP4_SQL}
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 10
+"""
+
+OP9_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach as (
+  select vec_id as node, vec_id as other from embeddings
+  union
+  select r.node, l.v from reach r join links l on r.other = l.u
+)
+select vec_id, (select count(*) from links where u = vec_id) as n_links, component_id, vec_id = component_id as kept
+from embeddings join (select node, min(other) as component_id from reach group by 1) on node = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op4_near_dedup": OP4_SQL, "op9_vector_dedup": OP9_SQL}
