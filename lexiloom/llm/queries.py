@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, neardup, packing, quality, secrets, topk, toxicity, vectordup
+from . import binary, htmltext, neardup, packing, quality, secrets, sentencepieces, topk, toxicity, vectordup
 from .common import fold, new_path, table
 
 SEQUENCE_TOKENS = 4096
@@ -41,6 +41,14 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where("vec_id % 100 = 0"), rows, k=10)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model")
+    out = sentencepieces.decode(sentencepieces.encode(docs, model_path=path), model_path=path)
+    back = F.col("piece_text") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length("piece_ids") / 4).cast("long").alias("n_ids"), F.crc32("piece_ids").alias("ids_crc32"), back.alias("round_trip"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +72,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, capacity=SEQUENCE_TOKENS)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "token-file")
@@ -71,7 +84,7 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, path, derive={"ids_crc32": F.crc32("ids")})
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op4_near_dedup": op4_near_dedup, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_token_file": op8_token_file, "op9_vector_dedup": op9_vector_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_near_dedup": op4_near_dedup, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_token_file": op8_token_file, "op9_vector_dedup": op9_vector_dedup, "op10_quality": op10_quality}
 
 OP4_SQL = r"""
 with recursive words as (
