@@ -1,4 +1,7 @@
 """All queries of the library's own operators, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import QUERIES, SQL
+
+ORACLES = SQL
+
+__all__ = ["ORACLES", "QUERIES"]
