@@ -1,12 +1,16 @@
-"""Token ids by the tokenizers library, with a memo of the chunks between white space.
+"""Token ids by the tokenizers library, with a memo of chunks.
 
-Both byte-level and word-level pre-tokenizers end a token wherever white space follows other text, so a text is
-the sequence of its chunks (white space, then the rest) and each distinct chunk needs to be encoded once. Texts
-with white space that regular expression engines disagree on are encoded whole.
+Byte-level and word-level pre-tokenizers alike end a token where white space follows other text, and where a
+white space or ASCII punctuation mark other than the apostrophe follows a run of Latin letters. So a text is the
+sequence of its chunks and each distinct chunk is encoded once. A tokenizer that lower-cases gets lower case, one
+that drops white space gets none, which makes fewer chunks. Texts with white space that regular expression engines
+disagree on are encoded whole.
 """
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 
@@ -14,10 +18,16 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_SPACE = r" \t\n\r"
+_LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"  # without the capital I with dot, whose lower case is two characters
+_MARKS = r"\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e"
+_WORD = rf"[{_LATIN}]+(?=[{_SPACE}{_MARKS}]|$)"
+CHUNK = re.compile(rf"(?<![{_SPACE}])\n(?=[{_LATIN}])|[{_SPACE}]*{_WORD}|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+BARE_CHUNK = re.compile(rf"{_WORD}|[^{_SPACE}]+")
+SIMPLE = re.compile(rf"[\x00-\x7f{_LATIN}]*")
 DISPUTED = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
-MEMO = 400_000
-LONGEST = 200  # longer chunks are not kept
+MEMO = 1_000_000
+LONGEST = 64  # longer chunks are not kept
 
 
 class MemoTokenizer:
@@ -29,32 +39,68 @@ class MemoTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special_tokens
         self.memo: dict[str, bytes] = {}
+        config = json.loads(self.tokenizer.to_str())
+        steps = [config.get("normalizer") or {}, *(config.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [config.get("pre_tokenizer") or {}, *(config.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.lower = any(s.get("type") == "Lowercase" for s in steps)
+        drops = any(c.get("type") == "Split" and c.get("behavior") == "Removed" and c.get("invert") and r"[^\s\p{L}\p{N}]+" in c["pattern"].get("Regex", "") for c in cuts)
+        self.chunk = BARE_CHUNK if drops else CHUNK
+        # words that can be encoded side by side: the ids that end (or start) a word tell them apart again
+        size, suffix = self.tokenizer.get_vocab_size(), config["model"].get("end_of_word_suffix")
+        self.border = np.zeros(size, bool)
+        self.single = re.compile(rf"[{_LATIN}]+" if drops and suffix else rf" [{_LATIN}]+")
+        self.ends = bool(drops and suffix)
+        self.joins = self.ends or (not suffix and any(c.get("type") == "ByteLevel" and c.get("use_regex") for c in cuts))
+        for token, i in self.tokenizer.get_vocab().items():
+            self.border[i] = token.endswith(suffix) if self.ends else token.startswith("\u0120")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that match `single`."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.ends else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * np.flatnonzero(self.border[ids])
+            if len(cuts) != len(part):
+                out += self._plain(part)
+                continue
+            flat, cuts = ids.tobytes(), cuts.tolist()
+            cuts = [0, *(c + 4 for c in cuts)] if self.ends else [*cuts, len(flat)]
+            out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [(t or "") if t is None or t.isascii() else _valid(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, out = self.memo, []
-        chunks = [None if DISPUTED.search(t) else CHUNK.findall(t) for t in texts]
-        new: set[str] = set()
-        for c in chunks:
-            if c is not None:
-                new.update(c)
-        new = [c for c in new if c not in memo]
-        short = [c for c in new if len(c) <= LONGEST]
-        memo.update(zip(short, self._plain(short)))
-        rare = dict(zip(long := [c for c in new if len(c) > LONGEST], self._plain(long)))
-        for t, c in zip(texts, chunks):
-            if c is None:
-                out.append(self._plain([t])[0])
-            elif rare:
-                out.append(b"".join([memo.get(x) or rare.get(x, b"") for x in c]))
-            else:
-                out.append(b"".join(map(memo.__getitem__, c)))
-        return out
+        cut, get = self.chunk.findall, self.memo.get
+        holes: list[tuple[list, list[str], list[int]]] = []
+        new: dict[str, bytes] = {}
+        for t in texts:
+            if DISPUTED.search(t):
+                out.append([self._plain([t])[0]])
+                continue
+            chunks = cut(t.lower() if self.lower and SIMPLE.fullmatch(t) else t)
+            got = list(map(get, chunks))
+            out.append(got)
+            if None in got:
+                at = [i for i, g in enumerate(got) if g is None]
+                new.update(dict.fromkeys([chunks[i] for i in at]))
+                holes.append((got, chunks, at))
+        single = self.single.fullmatch
+        words = [c for c in new if len(c) <= LONGEST and self.joins and single(c)]
+        new.update(zip(words, self._words(words)))
+        rest = [c for c, ids in new.items() if ids is None]
+        new.update(zip(rest, self._plain(rest)))
+        for got, chunks, at in holes:
+            for i in at:
+                got[i] = new[chunks[i]]
+        memo.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST)
+        return list(map(b"".join, out))
 
 
 def _valid(text: str) -> str:
