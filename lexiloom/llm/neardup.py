@@ -7,18 +7,21 @@
 3. A pair is compared 32 minima at a time and dropped as soon as the posterior probability (uniform prior) that
    its similarity reaches the threshold is under `miss`. Survivors are verified on their full shingle sets.
 4. The verified links give components. Buckets whose members are still in several components are then compared
-   in full, block by block, but only between components, by the same sequential test; survivors are verified
-   the same way. No link that the bands can see is lost, and a bucket of copies costs as many pairs as it has members.
+   in full, block by block, but only between components: first by set sizes, then by the same sequential test,
+   which goes on through batches of one-bit minima (4,096 more hashes) that only these documents get. Survivors
+   are verified the same way. No link that the bands can see is lost, and a bucket of copies costs as many pairs
+   as it has members.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +32,11 @@ HASHES, BANDS, ROWS = 128, 25, 5
 BATCH = 32
 MISS = 1e-7
 BLOCK = 256
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {i: i + 32 for i in range(65, 91)}
+BITS, BIT_BATCH = 4096, 1024
+BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240607)
-_MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MUL = _rng.integers(0, 1 << 31, HASHES + BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, HASHES + BITS, dtype=np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,38 +46,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words: dict[str, int] = {}
-
-
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a whole text; all its words as one if fewer; none without words."""
-    words = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
+    """Sorted distinct 64-bit hashes of the word n-grams of a whole text; all its words as one if fewer; none without words.
+
+    Bytes are lower-cased and split at white space in the ASCII range only, which is what the contract asks for.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    get = _words.get
-    codes = [get(w) for w in words]
-    if None in codes:
-        for w in words:
-            if w not in _words:
-                _words[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        codes = [_words[w] for w in words]
-    h = np.array(codes, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(width, len(h))
     acc = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        acc = _mix(acc * _STEP + h[i : len(h) - n + 1 + i])
-    return np.unique(acc + np.uint64(n))
+        acc = acc * _STEP + h[i : len(h) - n + 1 + i]
+        acc ^= acc >> np.uint64(29)
+    return np.unique(_mix(acc + np.uint64(n)))
+
+
+def _minima(sets: np.ndarray, which: slice) -> np.ndarray:
+    """32-bit minima of a non-empty set under the hash functions `which`."""
+    mul, add = _MUL[which], _ADD[which]
+    out = np.full(len(mul), np.uint32(2**32 - 1))
+    x = (sets >> np.uint64(32)).astype(np.uint32)
+    step = max(1, (1 << 17) // len(mul))
+    for lo in range(0, len(x), step):
+        h = x[lo : lo + step, None] * mul
+        h += add
+        np.minimum(out, h.min(0), out=out)
+    return out
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
     """HASHES 32-bit minima of a non-empty set."""
-    out = np.full(HASHES, np.uint64(2**64 - 1))
-    for lo in range(0, len(sets), 1024):
-        part = sets[lo : lo + 1024]
-        np.minimum(out, (part[:, None] * _MUL + _ADD).min(0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return _minima(sets, slice(0, HASHES))
+
+
+def bit_sketch(sets: np.ndarray) -> bytes:
+    """One bit of each of BITS further minima, packed; equal with probability (1 + similarity) / 2."""
+    m = _minima(sets, slice(HASHES, HASHES + BITS))
+    m = (m * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(m.astype(np.uint8)).tobytes()
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -86,6 +97,23 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
+def least_bits(threshold: float, miss: float = MISS) -> list[int]:
+    """By batches of one-bit minima: the fewest equal bits with which P(similarity >= threshold | bits) >= miss.
+
+    The posterior of the share of equal bits is taken as normal, which it is closely at a thousand bits and more.
+    """
+    out = []
+    for n in range(BIT_BATCH, BITS + 1, BIT_BATCH):
+
+        def stays(h: int, n: int = n) -> bool:
+            mean = (h + 1) / (n + 2)
+            sd = math.sqrt(mean * (1 - mean) / (n + 3))
+            return 0.5 * math.erfc(((1 + threshold) / 2 - mean) / (sd * math.sqrt(2))) >= miss
+
+        out.append(next(h for h in range(n // 2, n + 1) if h == n or stays(h)))
+    return out
+
+
 def surviving(a: np.ndarray, b: np.ndarray, floor: list[int]) -> np.ndarray:
     """Sequential test of rows a[i] against b[i]: positions of the pairs that no batch drops."""
     at, hits = np.arange(len(a)), np.zeros(len(a), int)
@@ -118,15 +146,15 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
                 n.append(len(s))
                 hi.append(int.from_bytes(key[:8], "little", signed=True))
                 lo.append(int.from_bytes(key[8:], "little", signed=True))
-                sigs.append(signature(s).astype("<u4").tobytes() if len(s) else None)
+                sigs.append(signature(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n": n, "hi": hi, "lo": lo, "sig": sigs})
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     signed = materialize(texts.mapInPandas(sign, "id long, n long, hi long, lo long, sig binary"), "signatures")
     reps = materialize(signed.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep")), "representatives")
     # a representative's signature and set; a repeated id may bring several texts, each under its own key
-    own = signed.where("n > 0").join(reps.select(F.col("rep").alias("id"), "hi", "lo"), ["id", "hi", "lo"], "left_semi").groupBy("id", "hi", "lo").agg(F.first("sig").alias("sig"))
-    own = materialize(own.select("id", "hi", "lo", "sig"), "own-signatures")
+    own = signed.where("n > 0").join(reps.select(F.col("rep").alias("id"), "hi", "lo"), ["id", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi", "lo"])
+    own = materialize(own.select("id", "hi", "lo", "n", "sig"), "own-signatures")
 
     @F.pandas_udf("array<long>")
     def banded(sigs: pd.Series) -> pd.Series:
@@ -138,22 +166,23 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
             acc = _mix(acc * _STEP + a[:, r : BANDS * ROWS : ROWS])
         return pd.Series(list(acc.view(np.int64)))
 
-    buckets = own.select("id", "hi", F.explode(banded("sig")).alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min(F.struct("id", "hi")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    buckets = own.select("id", F.posexplode(banded("sig")).alias("band", "bucket"))
+    least = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     buckets = materialize(buckets.join(least.select("bucket", "hub"), "bucket"), "buckets")
-    star = buckets.where("id <> hub.id").select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct()
+    star = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    texts = _wanted(texts.where("id is not null"), buckets.select("id").distinct())
     links = materialize(_verified(star, own, texts, floor, numerator, denominator, width, screened=False), "links")
     comps = components(links)
     # buckets with several components left: full comparison between components, in blocks
-    named = buckets.select("bucket", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = buckets.select("bucket", "band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = named.groupBy("bucket").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c"), F.count("*").alias("size")).where("lo_c < hi_c and size > 2")
-    left = materialize(named.join(split.select("bucket", "size"), "bucket").select("bucket", "size", "id", "c"), "unsettled")
-    pairs = _between(left, own, floor)
+    left = materialize(named.join(split.select("bucket", "size"), "bucket").select("bucket", "band", "size", "id", "c"), "unsettled")
+    pairs = _between(left, own, texts, floor, least_bits(threshold), threshold, width)
     found = _verified(pairs, own, texts, floor, numerator, denominator, width, screened=True)
     more = materialize(found, "links")
     release(left)
     comps = materialize(components(links.unionByName(more)), "components")
-    for x in (links, more, buckets):
+    for x in (links, more, buckets, texts):
         release(x)
     classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("class"))
     out = signed.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
@@ -166,27 +195,52 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     )
 
 
-def _between(left: DataFrame, own: DataFrame, floor: list[int]) -> DataFrame:
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents that share a bucket; up to BROADCAST_IDS ids go to the texts, more meet them by a shuffle."""
+    ids = materialize(ids, "bucket-ids")
+    few = ids.count() <= BROADCAST_IDS
+    out = materialize(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "bucket-texts")
+    release(ids)
+    return out
+
+
+def _between(left: DataFrame, own: DataFrame, texts: DataFrame, floor: list[int], bit_floor: list[int], threshold: float, width: int) -> DataFrame:
     """Pairs of different components within a bucket that pass the sequential test, block against block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+
+    @F.pandas_udf("binary")
+    def bits(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bit_sketch(shingles(t, width)))
+
+    ids = left.select("id").distinct()
+    sketched = own.join(ids, "id", "left_semi").join(texts.join(ids, "id", "left_semi"), "id").select("id", "n", "sig", bits("t").alias("bits"))
+    sketched = materialize(sketched, "sketches")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = left.withColumn("blocks", blocks).withColumn("mine", mine)
+    rows = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", mine)
     # block i meets block j >= i once: send a member of block i to (i, j) and (j, i)
     meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("bucket", "id", "c", "mine", meet).select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "c")
-    rows = rows.join(own.select("id", "sig"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    rows = rows.select("bucket", "band", "id", "c", "mine", meet).select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "c")
+    rows = rows.join(sketched, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["bucket", "i", "j"]):
             sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(-1, HASHES)
-            ids, c, mine = (g[k].to_numpy() for k in ("id", "c", "mine"))
-            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+            more = np.frombuffer(b"".join(g["bits"]), "u1").reshape(len(sig), -1)
+            ids, c, n, mine = (g[k].to_numpy() for k in ("id", "c", "n", "mine"))
+            i, j, band = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(g["band"].iloc[0])
             first, second = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             for x in first:
                 y = second[(c[second] != c[x]) & ((ids[second] > ids[x]) if i == j else True)]
-                at = surviving(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], floor)
-                if len(at):
-                    z = y[at]
+                y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
+                y = y[surviving(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], floor)]
+                unequal = np.zeros(len(y), int)
+                for k, least in enumerate(bit_floor):
+                    cut = slice(k * BIT_BATCH // 8, (k + 1) * BIT_BATCH // 8)
+                    unequal = unequal + np.bitwise_count(more[x, cut] ^ more[y, cut]).sum(1, dtype=int)
+                    keep = (k + 1) * BIT_BATCH - unequal >= least
+                    y, unequal = y[keep], unequal[keep]
+                if len(y):  # of the bands in which the two meet, the first reports them
+                    meets = (sig[x, : BANDS * ROWS] == sig[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+                    z = y[meets.argmax(1) == band]
                     yield pd.DataFrame({"u": np.minimum(ids[x], ids[z]), "v": np.maximum(ids[x], ids[z])})
 
     return rows.mapInPandas(compare, "u long, v long").where("u <> v").distinct()
@@ -229,7 +283,7 @@ def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame, floor: list[in
         pairs = pairs.where(stays("su", "sv")).select("u", "v").distinct()
     pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    full = texts.where("id is not null").join(ends, "id", "left_semi").select("id", "t")
+    full = texts.join(ends, "id", "left_semi").select("id", "t")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
