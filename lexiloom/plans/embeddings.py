@@ -46,7 +46,7 @@ def last_token_pool(spark, d):
 
 @query(
     "mean_pool_segments",
-    f"with {STATES} select vec_id, list_transform(range(4), lambda s: list_transform(range(8), lambda j: round(case when m[2 * s + 1] + m[2 * s + 2] > 0 then (h[2 * s + 1][j + 1] * m[2 * s + 1] + h[2 * s + 2][j + 1] * m[2 * s + 2]) / (m[2 * s + 1] + m[2 * s + 2]) else list_sum(list_transform(range(8), lambda t: h[t + 1][j + 1])) / 8 end, 5) + 0.0)) as v from st",
+    f"with {STATES} select vec_id, list_transform(range(4), lambda s: list_transform(range(8), lambda j: round(case when m[2 * s + 1] + m[2 * s + 2] > 0 then (h[2 * s + 1][j + 1] * m[2 * s + 1] + h[2 * s + 2][j + 1] * m[2 * s + 2]) / (m[2 * s + 1] + m[2 * s + 2] + 1e-9) else list_sum(list_transform(range(8), lambda t: h[t + 1][j + 1])) / 8 end, 5) + 0.0)) as v from st",
 )
 def mean_pool_segments(spark, d):
     return states(spark, d).select("vec_id", F.transform(V.mean_pool_segments(F.col("h"), F.col("m"), 2), lambda v: rounded(v, 5)).alias("v"))
