@@ -126,33 +126,59 @@ class Machines:
 
     def shortest(self, text: str) -> list[int]:
         """Pieces on the shortest path of the lattice of `text`; -1: a character without a piece."""
+        last, back = (self._bpe if self.kind == BPE else self._unigram)(text)
+        out, at = [], len(text)
+        while at > 0:
+            out.append(last[at])
+            at = back[at]
+        return out[::-1]
+
+    def _bpe(self, text: str) -> tuple[list[int], list[int]]:
+        """Every position has one state of finite cost, 0: the last piece of the encoding up to there."""
         n = len(text)
-        cost: list[float] = [0.0] + [float("inf")] * n
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        bpe = self.kind == BPE
+        last, back, follows = [-1] * (n + 1), list(range(-1, n)), self.follows
         for end in range(1, n + 1):
-            node, at = self.trie, end - 1
-            arcs = []
-            while at >= 0 and (node := node.get(text[at])) is not None:
-                if "" in node and cost[at] < float("inf"):
-                    arcs.append((at, node[""]))
+            node, at = self.trie, end
+            while at:
                 at -= 1
-            if not any(a == end - 1 for a, _ in arcs) and cost[end - 1] < float("inf"):
-                arcs.append((end - 1, -1))
-            for at, piece in reversed(arcs):  # long pieces first
-                if bpe:
-                    if (at == 0 or self.may_follow(last[at], piece)) and (at != 0 or piece < 0 or self._whole(piece)):
-                        cost[end], last[end], back[end] = 0.0, piece, at
-                        break
+                node = node.get(text[at])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is None:
+                    continue
+                before = last[at]
+                if at and before < 0:
+                    fits = True
                 else:
-                    c = cost[at] - (self.pieces[piece][1] if piece >= 0 else self.unseen)
+                    key = before << 32 | piece if at else -1 - piece
+                    fits = follows.get(key)
+                    if fits is None:
+                        fits = self.may_follow(before, piece) if at else self._whole(piece)
+                if fits:
+                    last[end], back[end] = piece, at
+                    break
+        return last, back
+
+    def _unigram(self, text: str) -> tuple[list[int], list[int]]:
+        n = len(text)
+        cost, last, back = [0.0] + [float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            node, at, single = self.trie, end, False
+            while at:
+                at -= 1
+                node = node.get(text[at])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    single = single or at == end - 1
+                    c = cost[at] - self.pieces[piece][1]
                     if c < cost[end]:
                         cost[end], last[end], back[end] = c, piece, at
-        out, at = [], n
-        while at > 0:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
+            if not single and cost[end - 1] + self.unseen * -1 < cost[end]:
+                cost[end], last[end], back[end] = cost[end - 1] - self.unseen, -1, end - 1
+        return last, back
 
     def _whole(self, piece: int) -> bool:
         """Arc from the start: the piece is what its own text encodes to."""
