@@ -93,3 +93,28 @@ def contrastive_loss(scores: DataFrame, temperature: float) -> DataFrame:
         F.max_by("di", F.struct(F.col("s"), -F.col("di"))).alias("best"),
     )
     return per.groupBy("batch_id").agg(F.avg("loss").alias("loss"), F.avg((F.col("best") == F.col("qi")).cast("double")).alias("accuracy"))
+
+
+def get_sampler(strategy: str, df: DataFrame, idx: str, *, seed: int, epoch: int, batch: int, world: int = 1, domain: str = "dataset", cluster: str = "cluster") -> DataFrame:
+    """Batches by one of the four strategies; an unknown one is an error."""
+    if strategy == "random":
+        return sample_random(df, idx, seed, epoch, batch, world)
+    if strategy == "domain":
+        return sample_groups(df, idx, [domain], seed, epoch, batch, world)
+    if strategy == "cluster":
+        return sample_groups(df, idx, [cluster], seed, epoch, batch, world)
+    if strategy == "cluster_within_domain":
+        return sample_groups(df, idx, [domain, cluster], seed, epoch, batch, world, order=T.hash_order(str(seed), F.col(domain)))
+    raise ValueError(f"unknown sampling strategy {strategy!r}; one of {STRATEGIES}")
+
+
+def sampler_fingerprint(strategy: str, **config) -> str:
+    """Key of a batch plan: the md5 of its configuration."""
+    from ..sources.cache import cache_key
+
+    return cache_key(strategy=strategy, **config)
+
+
+def running_rank(df: DataFrame, key: str, world: int) -> DataFrame:
+    """`rank` by key modulo the number of readers; only for exports, as Spark deals out its own tasks."""
+    return df.withColumn("rank", F.pmod(F.col(key), F.lit(world)).cast("int"))

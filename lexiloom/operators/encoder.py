@@ -78,3 +78,10 @@ def gramian_svd(vectors: DataFrame, column: str, rank: int) -> tuple[np.ndarray,
         return pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)))
 
     return basis, vectors.withColumn("reduced", project(F.col(column)))
+
+
+def embed_with_cache(cache, encoder: Encoder, df: DataFrame, idx: str, column: str, *, model: str, dataset: str, prompt: str = "document") -> DataFrame:
+    """(idx, embedding) of one column, stored under the model, dataset, column, prompt and length that made it."""
+    rows = df.select(idx, column)
+    arguments = {"model": model, "dataset": dataset, "column": column, "prompt": prompt, "max_tokens": encoder.max_tokens}
+    return cache.get("embeddings", lambda: encoder.apply(rows, column, prompt).select(idx, "embedding"), **arguments)

@@ -121,3 +121,14 @@ def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
 def process_qrels(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """Judgements joined to corpus rows: (qid, did, rel, idx), idx null for a document that the corpus lacks."""
     return qrels.join(corpus.select("did", "idx"), "did", "left").select("qid", "did", "rel", "idx")
+
+
+def first_queries(queries: DataFrame, n: int) -> DataFrame:
+    """The first `n` queries in the order of their ids: a bounded evaluation set."""
+    return queries.orderBy("qid").limit(n)
+
+
+def large_enough(queries: DataFrame, dataset: str, least: int) -> DataFrame:
+    """Queries of the datasets that have at least `least` of them; smaller sets are not evaluated."""
+    sizes = queries.groupBy(dataset).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return queries.join(sizes.select(dataset), dataset, "left_semi")

@@ -195,3 +195,21 @@ def running_averages(spark, d):
 def task_category_prefixes(spark, d):
     t = values(spark, TASKS, "task string, category string")
     return t.select("task", "category", F.col("category").isin("clustering", "pairs").alias("is_symmetric"), T.prefixed_short(F.col("category"), F.lit("")).alias("q_prefix"))
+
+
+@query("query_subsample", f"with {BASE} select qid, did, cast(rank as integer) as rank from run where rank <= 5 and qid in (select distinct qid from run order by qid limit 8)")
+def query_subsample(spark, d):
+    return R.cosine_topk(R.first_queries(queries(spark, d), 8), corpus(spark, d), 5).select("qid", "did", "rank")
+
+
+@query("large_enough", "with q as (select vec_id as qid, label from embeddings where vec_id % 10 = 0) select qid, label from q where label in (select label from q group by 1 having count(*) >= 5)")
+def large_enough(spark, d):
+    q = tables.read_table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return R.large_enough(q, "label", 5).select("qid", "label")
+
+
+@query("main_scores", f"with {RESULTS_SQL}, {TASKS_SQL} select task, category, category = 'clustering' as normalized, max(value) as score from flat join tasks using (task) group by 1, 2, 3")
+def main_scores(spark, d):
+    """One score a task, and whether its evaluation normalises embeddings (clustering tasks do)."""
+    t = values(spark, TASKS, "task string, category string")
+    return results(spark).join(t, "task").groupBy("task", "category").agg(F.max("value").alias("score")).select("task", "category", F.expr("category = 'clustering'").alias("normalized"), "score")

@@ -86,3 +86,12 @@ def union_splits(splits: dict[str, DataFrame]) -> DataFrame:
         part = df.select("query", F.try_element_at("pos", F.lit(1)).alias("document"), F.col("neg").alias("negative"), F.lit(name).alias("dataset"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def convert_assignments(spark: SparkSession, source: str, target: str) -> bool:
+    """Write an assignment table (idx, cluster) as one id a line; False if the target is there already."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return False
+    write_assignments_text(spark.read.parquet(source), target)
+    return True

@@ -175,3 +175,22 @@ def test_svd_keeps_the_leading_directions(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
     basis, _ = encoder.gramian_svd(df, "v", 2)
     assert np.allclose(x @ basis @ basis.T, x)
+
+
+def test_factories(spark, tmp_path):
+    df = spark.range(64).select(F.col("id").alias("idx"), (F.col("id") % 2).alias("dataset"), (F.col("id") % 4).alias("cluster"))
+    for s in batches.STRATEGIES:
+        assert batches.get_sampler(s, df, "idx", seed=1, epoch=0, batch=8).count() == 64
+    with pytest.raises(ValueError):
+        batches.get_sampler("other", df, "idx", seed=1, epoch=0, batch=8)
+    assert batches.sampler_fingerprint("random", seed=1) != batches.sampler_fingerprint("random", seed=2)
+    c = spark.createDataFrame([(0, [0.0]), (1, [5.0])], "cluster int, centroid array<double>")
+    assert sorted(clustering.order_clusters("random", c)) == [0, 1] == clustering.order_clusters("tsp_greedy", c)
+    with pytest.raises(ValueError):
+        clustering.order_clusters("other", c)
+    df.select("idx", "cluster").write.parquet(str(tmp_path / "a"))
+    assert tables.convert_assignments(spark, str(tmp_path / "a"), str(tmp_path / "b")) and not tables.convert_assignments(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    e = encoder.Encoder(lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    p = spark.createDataFrame([(0, "a", "bb"), (1, "ccc", None)], "i long, query string, document string")
+    assert clustering.embed_for_clustering(p, e).count() == 2
+    assert encoder.embed_with_cache(cache.Cache(spark, tmp_path.as_uri()), e, p, "i", "query", model="len", dataset="p").count() == 2
