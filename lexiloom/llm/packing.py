@@ -102,10 +102,10 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer_path: str, end_id: int, capaci
         part: list = []
         weight = 0
         values = texts.tolist()
-        for i, t in enumerate(values):  # encode about a megabyte at a time
+        for i, t in enumerate(values):  # encode a few megabytes at a time
             part.append(t)
             weight += len(t or "")
-            if weight > 1_000_000 or i == len(values) - 1:
+            if weight > 4_000_000 or i == len(values) - 1:
                 for ids in tokenizer(tokenizer_path).encode(part):
                     ids += end
                     out.append([{"start": k // 4, "ids": ids[k : k + size]} for k in range(0, len(ids), size)])
