@@ -14,12 +14,13 @@ are in the exception list with their place in the block and full difference.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import tokenizer
@@ -27,6 +28,7 @@ from .tokens import tokenizer
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_TOKENS = 1 << 16
+STEP = 1024
 HEAD = struct.Struct("<4sIIQ")
 
 
@@ -49,7 +51,7 @@ def encode_segment(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
     for w in np.unique(width):
         if w:
             at_w = np.flatnonzero(width == w)
-            planes = ((a[at_w][:, :, None] >> np.arange(w, dtype="u4")) & 1).astype("u1")
+            planes = np.unpackbits(a[at_w].astype("<u4").view("u1").reshape(-1, 4), axis=1, bitorder="little", count=int(w))
             packed[(starts[at_w][:, None] + np.arange(int(w) * BLOCK // 8, dtype="u8")).astype("i8")] = np.packbits(planes.reshape(len(at_w), -1), axis=1, bitorder="little")
     null = np.array([d is None for d in doc_ids], "u1")
     return b"".join(
@@ -91,8 +93,9 @@ def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
         if w:
             at_w = np.flatnonzero(width == w)
             rows = packed[(starts[at_w][:, None] + np.arange(int(w) * BLOCK // 8, dtype="u8")).astype("i8")]
-            planes = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(at_w), BLOCK, int(w))
-            a[at_w] = (planes.astype("u4") << np.arange(w, dtype="u4")).sum(2, dtype="u4")
+            planes = np.zeros((len(at_w) * BLOCK, 32), "u1")
+            planes[:, : int(w)] = np.unpackbits(rows, axis=1, bitorder="little").reshape(-1, int(w))
+            a[at_w] = np.packbits(planes, axis=1, bitorder="little").view("<u4").reshape(-1, BLOCK)
     a[np.repeat(np.arange(blocks), odd), places] = values
     a += low[:, None]
     return [None if x else int(d) for d, x in zip(doc_ids.tolist(), null)], lengths, a.ravel()[:n]
@@ -105,20 +108,20 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     whole file. Null ids come first; rows that repeat an id stand side by side, by text. Null and empty texts are the end id alone.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         end = int(end_id).to_bytes(4, "little")
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [size // 4], "segment": [encode_segment(ids, held)]})
+        def row() -> pa.RecordBatch:
+            values = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([size // 4], pa.int64()), pa.array([encode_segment(ids, held)], pa.binary())]
+            return pa.RecordBatch.from_arrays(values, ["part", "seq", "n_docs", "n_tokens", "segment"])
 
         for batch in batches:
-            null = batch["doc_id"].isna().tolist()
-            keys, texts = batch["doc_id"].tolist(), batch["t"].tolist()
-            for lo in range(0, len(texts), 256):
-                for k, is_null, got in zip(keys[lo:], null[lo:], tokenizer(tokenizer_path).encode(texts[lo : lo + 256])):
+            for lo in range(0, batch.num_rows, STEP):
+                some = batch.slice(lo, STEP)
+                for k, got in zip(some.column("doc_id").to_pylist(), tokenizer(tokenizer_path).encode(some.column("t").to_pylist())):
                     held.append(got + end)
-                    ids.append(None if is_null else int(k))
+                    ids.append(k)
                     size += len(got) + 4
                     if size >= 4 * SEGMENT_TOKENS:
                         yield row()
@@ -126,34 +129,38 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
         if held:
             yield row()
 
-    rows = docs.select("doc_id", F.col(text_col).alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
-    rows.mapInPandas(encode, "part int, seq int, n_docs int, n_tokens long, segment binary").write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+    rows.mapInArrow(encode, "part int, seq int, n_docs int, n_tokens long, segment binary").write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, derive: dict[str, Column] | None = None) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Read such a file: doc_id, start (ids of all documents before it), n_tokens, ids (binary), in any order.
 
-    `derive`: columns to compute from `ids` in place of it, before rows are joined to the starts of their segments.
+    `digest`: ids_crc32, the unsigned crc32 of a document's ids, in place of ids.
     """
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, raw in zip(batch["part"], batch["seq"], batch["segment"]):
+            for part, seq, raw in zip(*(batch.column(k).to_pylist() for k in ("part", "seq", "segment"))):
                 keys, lengths, ids = decode_segment(raw)
-                flat, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(lengths.astype("i8"))
-                starts = ends - 4 * lengths.astype("i8")
-                yield pd.DataFrame(
-                    {"part": part, "seq": seq, "doc_id": pd.array(keys, "Int64"), "at": starts // 4, "n_tokens": lengths.astype("i8"), "ids": [flat[a:b] for a, b in zip(starts.tolist(), ends.tolist())]}
-                )
-
+                sizes = lengths.astype("i8")
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                flat, cuts, n = pa.py_buffer(ids.astype("<u4").tobytes()), 4 * ends, len(keys)
+                if digest:
+                    view, at = memoryview(flat), cuts.tolist()
+                    last = pa.array([zlib.crc32(view[a:b]) for a, b in zip(at, at[1:])], pa.int64())
+                else:
+                    last = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts), flat]).cast(pa.binary())
+                values = [pa.array(np.full(n, part, "i4")), pa.array(np.full(n, seq, "i4")), pa.array(keys, pa.int64()), pa.array(ends[:-1]), pa.array(sizes), last]
+                yield pa.RecordBatch.from_arrays(values, ["part", "seq", "doc_id", "at", "n_tokens", name])
+
+    name, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
     stored = spark.read.parquet(path)
     in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per written partition
     parts = parts.select("part", F.coalesce(F.sum("_all").over(over), F.lit(0)).alias("_part"))
     base = stored.select("part", "seq", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)).alias("_seg")).join(parts, "part")
-    rows = stored.select("part", "seq", "segment").mapInPandas(decode, "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
-    derive = {"ids": F.col("ids")} if derive is None else derive
-    rows = rows.select("part", "seq", "doc_id", "at", "n_tokens", *[c.alias(name) for name, c in derive.items()])
+    rows = stored.select("part", "seq", "segment").mapInArrow(decode, f"part int, seq int, doc_id long, at long, n_tokens long, {name} {kind}")
     base = base.select("part", "seq", (F.col("_seg") + F.col("_part")).alias("_base"))
-    return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("_base") + F.col("at")).alias("start"), "n_tokens", *derive)
+    return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("_base") + F.col("at")).alias("start"), "n_tokens", name)

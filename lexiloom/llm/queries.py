@@ -81,7 +81,7 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "token-file")
     binary.write_tokens(docs, path, tokenizer_path=tokenizer_file("byte_bpe_50k.json"), end_id=2)
-    return binary.read_tokens(spark, path, derive={"ids_crc32": F.crc32("ids")})
+    return binary.read_tokens(spark, path, digest=True)
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_near_dedup": op4_near_dedup, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_token_file": op8_token_file, "op9_vector_dedup": op9_vector_dedup, "op10_quality": op10_quality}
