@@ -28,7 +28,6 @@ from .tokens import tokenizer
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_TOKENS = 1 << 16
-STEP = 1024
 HEAD = struct.Struct("<4sIIQ")
 
 
@@ -117,15 +116,13 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
             return pa.RecordBatch.from_arrays(values, ["part", "seq", "n_docs", "n_tokens", "segment"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, STEP):
-                some = batch.slice(lo, STEP)
-                for k, got in zip(some.column("doc_id").to_pylist(), tokenizer(tokenizer_path).encode(some.column("t").to_pylist())):
-                    held.append(got + end)
-                    ids.append(k)
-                    size += len(got) + 4
-                    if size >= 4 * SEGMENT_TOKENS:
-                        yield row()
-                        seq, held, ids, size = seq + 1, [], [], 0
+            for k, got in zip(batch.column("doc_id").to_pylist(), tokenizer(tokenizer_path).encode(batch.column("t").to_pylist())):
+                held.append(got + end)
+                ids.append(k)
+                size += len(got) + 4
+                if size >= 4 * SEGMENT_TOKENS:
+                    yield row()
+                    seq, held, ids, size = seq + 1, [], [], 0
         if held:
             yield row()
 

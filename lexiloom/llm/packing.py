@@ -98,19 +98,9 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer_path: str, end_id: int, capaci
 
     @F.pandas_udf("array<struct<start: long, ids: binary>>")
     def cut(texts: pd.Series) -> pd.Series:
-        end, size, out = int(end_id).to_bytes(4, "little"), 4 * capacity, []
-        part: list = []
-        weight = 0
-        values = texts.tolist()
-        for i, t in enumerate(values):  # encode a few megabytes at a time
-            part.append(t)
-            weight += len(t or "")
-            if weight > 4_000_000 or i == len(values) - 1:
-                for ids in tokenizer(tokenizer_path).encode(part):
-                    ids += end
-                    out.append([{"start": k // 4, "ids": ids[k : k + size]} for k in range(0, len(ids), size)])
-                part, weight = [], 0
-        return pd.Series(out, dtype=object)
+        end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
+        whole = [ids + end for ids in tokenizer(tokenizer_path).encode(texts.tolist())]
+        return pd.Series([[{"start": k // 4, "ids": ids[k : k + size]} for k in range(0, len(ids), size)] for ids in whole], dtype=object)
 
     rows = docs.select("doc_id", F.posexplode(cut(F.col(text_col))).alias("piece", "p"))
     return rows.select("doc_id", "piece", F.col("p.start").alias("start"), (F.octet_length("p.ids") / 4).cast("long").alias("length"), F.col("p.ids").alias("ids"))

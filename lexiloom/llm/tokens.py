@@ -30,7 +30,7 @@ SIMPLE = re.compile(rf"[\x00-\x7f{_LATIN}]*")
 DISPUTED = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 CUT = "\x02"
 BORDER = rf"([{_LATIN}])([{_MARKS}])".replace(r"\u", r"\x{").replace(r"\x{012f", r"\x{12f}").replace(r"\x{0131", r"\x{131}").replace(r"\x{024f", r"\x{24f}")
-HARD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", CUT)
+PORTION = 12_000_000  # characters cut and numbered at a time
 MEMO = 700_000
 LONGEST = 64  # longer chunks are not kept
 
@@ -80,7 +80,19 @@ class MemoTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts. Most texts have single blanks and line feeds only, which Arrow cuts and numbers."""
         texts = [(t or "") if t is None or t.isascii() else _valid(t) for t in texts]
-        easy = [i for i, t in enumerate(texts) if not any(h in t for h in HARD) and not DISPUTED.search(t)]
+        out: list[bytes] = []
+        part: list[str] = []
+        chars = 0
+        for t in texts:
+            part.append(t)
+            chars += len(t)
+            if chars > PORTION:
+                out += self._portion(part)
+                part, chars = [], 0
+        return out + self._portion(part)
+
+    def _portion(self, texts: list[str]) -> list[bytes]:
+        easy = [i for i, t in enumerate(texts) if not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or CUT in t or DISPUTED.search(t))]
         out: list = [None] * len(texts)
         for i, ids in zip(easy, self._by_table([texts[i] for i in easy])):
             out[i] = ids
@@ -108,12 +120,12 @@ class MemoTokenizer:
         if new:
             self._encode_new(new)
             got = [new[k] if g is None else g for k, g in zip(keys, got)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes  # a portion has far fewer than 2^31 ids
         n = sizes[codes]
-        stops = np.cumsum(n)
-        ids = np.frombuffer(b"".join(got), "<u4")[np.repeat(starts[codes] - (stops - n), n) + np.arange(int(n.sum()))]
-        flat, cuts = ids.tobytes(), (4 * np.concatenate([[0], stops]))[ends].tolist()
+        stops = np.cumsum(n, dtype=np.int32)
+        ids = np.frombuffer(b"".join(got), "<u4")[np.repeat(starts[codes] - (stops - n), n) + np.arange(int(stops[-1]) if len(stops) else 0, dtype=np.int32)]
+        flat, cuts = ids.tobytes(), (4 * np.concatenate([[0], stops.astype(np.int64)]))[ends].tolist()
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _encode_new(self, new: dict[str, bytes]) -> None:
