@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,8 @@ MIN_DF = 8
 NEIGHBOURS = 64
 BLOCK = 64
 SHARPNESS = 1.05
-MEMO = 200_000
+MEMO = 100_000
+TERM_ROWS = 50_000  # rows of one batch to Spark
 
 
 def terms(text: str | None) -> Counter:
@@ -178,17 +180,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
         return empty
     picked = bounded_sample(known.where("y = 0"), "doc_id", sample_per_class, n0).unionByName(bounded_sample(known.where("y = 1"), "doc_id", sample_per_class, n1))
 
-    @F.pandas_udf("array<struct<term string, n int>>")
-    def termed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"term": k, "n": v} for k, v in terms(t).items()])
+    def termed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, ys, words, counts = [], [], [], []
+
+        def table() -> pd.DataFrame:
+            out = pd.DataFrame({"doc_id": ids, "y": ys, "term": words, "n": counts})
+            for column in (ids, ys, words, counts):
+                column.clear()
+            return out
+
+        for batch in batches:
+            for d, y, t in zip(batch["doc_id"].tolist(), batch["y"].tolist(), batch["t"]):
+                found = terms(t)
+                ids.extend([d] * len(found))
+                ys.extend([y] * len(found))
+                words.extend(found)
+                counts.extend(found.values())
+                if len(ids) > TERM_ROWS:
+                    yield table()
+        if ids:
+            yield table()
 
     sample = (
         docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
         .join(F.broadcast(picked), "doc_id")  # at most 2 x sample_per_class rows of two numbers
         .groupBy("doc_id", "y")
         .agg(F.min("t").alias("t"))
-        .select("doc_id", "y", F.explode(termed("t")).alias("x"))
-        .select("doc_id", "y", "x.term", "x.n")
+        .mapInPandas(termed, "doc_id long, y int, term string, n int")
     )
     sample = materialize(sample, "toxic-terms")
     per = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.countDistinct("doc_id").alias("n")).collect()}
