@@ -34,6 +34,7 @@ ORDINARY = r"^[A-Za-z]+([_-][A-Za-z]+)*[0-9]{0,4}$"
 MADE = 1024
 PRIOR = 1e-4
 SMOOTH = 0.5
+BACKOFF = 8.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -111,11 +112,14 @@ def fit_markov(docs: DataFrame, *, text_col: str = "text", made: int = MADE, pri
     tokens = tokens.unionByName(spark.range(made).select(F.explode(strings).alias("token"), F.lit(1).alias("label")))
     codes = F.concat(F.array(F.lit(0)), F.transform(F.split("token", ""), lambda c: F.instr(F.lit(ALPHABET), c)))
     steps = tokens.select("label", codes.alias("c")).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.get("c", i - 1) * STATES + F.get("c", i))).alias("step"))
-    counts = np.full((2, STATES, STATES), SMOOTH)
+    counts = np.zeros((2, STATES, STATES))
     for r in steps.groupBy("label", "step").count().collect():  # at most 2 x STATES x STATES rows
         counts[r["label"], r["step"] // STATES, r["step"] % STATES] += r["count"]
-    counts[:, :, 0] = 1e-9
-    logs = np.log(counts / counts.sum(2, keepdims=True))
+    # a transition that a state has not shown falls back on how common its target is in the class
+    overall = counts.sum(1, keepdims=True) + SMOOTH
+    overall[:, :, 0] = 1e-9
+    overall /= overall.sum(2, keepdims=True)
+    logs = np.log((counts + BACKOFF * overall) / (counts.sum(2, keepdims=True) + BACKOFF))
     ratios = logs[1] - logs[0]
     ratios[:, 0] = 0.0
     return MarkovModel(ratios.ravel().tolist(), math.log((1 - prior) / prior))

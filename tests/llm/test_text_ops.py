@@ -162,7 +162,8 @@ SECRETS = [
 
 def test_secret_spans(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(SECRETS)], "doc_id long, text string, secret_spans string")
-    model = secrets.fit_markov(df)
+    names = [f"{a}{x}{b}{x}{c}" for x in ("_", "-", "") for a in ("user", "order", "session", "account") for b in ("customer", "response", "document", "handler") for c in ("identifier", "reference", "controller", "serialization")]
+    model = secrets.fit_markov(df.unionByName(spark.createDataFrame([(99, " ".join(names), "")], df.schema)))
     got = {r["doc_id"]: [tuple(s) for s in r["secret_spans"]] for r in secrets.find_secrets(df, model).collect()}
     for i, t in enumerate(SECRETS):
         assert [s for s in got[i] if s[3] != "markov"] == brute_spans(t)
