@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,19 @@ def release(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(owner: str, drop: Callable[[], None]) -> None:
+    """Worker processes outlive an operator: when one takes up its cache, the caches of the others go."""
+    if _caches.keys() != {owner}:
+        for name, clear in list(_caches.items()):
+            if name != owner:
+                clear()
+                del _caches[name]
+        _caches[owner] = drop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fit_logistic, sigmoid
+from .common import bounded_sample, fit_logistic, only_cache, sigmoid
 
 SEGMENT = 512
 LEVEL = 1
@@ -159,6 +159,7 @@ _scorers: dict[str, _Scorer] = {}
 
 
 def _cached(model: QualityModel) -> _Scorer:
+    only_cache("quality", _scorers.clear)
     if model.key not in _scorers:
         _scorers.clear()
         _scorers[model.key] = model.scorer()

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only_cache
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -235,6 +237,7 @@ _compiled: dict[str, Machines] = {}
 
 
 def machines(path: str) -> Machines:
+    only_cache("pieces", _compiled.clear)
     if path not in _compiled:
         _compiled[path] = Machines(path)
     return _compiled[path]

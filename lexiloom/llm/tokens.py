@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import only_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPACE = r" \t\n\r"
@@ -172,6 +174,7 @@ _loaded: dict[tuple[str, bool], MemoTokenizer] = {}
 
 def tokenizer(path: str, encode_special_tokens: bool = True) -> MemoTokenizer:
     """One tokenizer a worker process."""
+    only_cache("tokens", _loaded.clear)
     key = (path, encode_special_tokens)
     if key not in _loaded:
         _loaded[key] = MemoTokenizer(path, encode_special_tokens)

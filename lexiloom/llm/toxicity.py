@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fit_logistic, materialize, release, sigmoid
+from .common import bounded_sample, fit_logistic, materialize, only_cache, release, sigmoid
 
 WORD = re.compile(r"\w+")
 PREFIXES = (5, 6, 7)
@@ -290,6 +290,7 @@ _voters: dict[str, _Voter] = {}
 
 
 def _cached(m: ToxicityModel) -> _Voter:
+    only_cache("toxicity", _voters.clear)
     if m.key not in _voters:
         _voters.clear()
         _voters[m.key] = _Voter(m)
