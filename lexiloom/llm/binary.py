@@ -51,7 +51,7 @@ def encode_segment(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
         if w:
             at_w = np.flatnonzero(width == w)
             wide = "<u4" if w > 16 else "<u2" if w > 8 else "u1"
-            planes = np.unpackbits(a[at_w].astype(wide).view("u1").reshape(-1, np.dtype(wide).itemsize), axis=1, bitorder="little", count=int(w))
+            planes = np.unpackbits(a[at_w].astype(wide).view("u1").ravel(), bitorder="little").reshape(-1, 8 * np.dtype(wide).itemsize)[:, : int(w)]
             packed[(starts[at_w][:, None] + np.arange(int(w) * BLOCK // 8, dtype="u8")).astype("i8")] = np.packbits(planes.reshape(len(at_w), -1), axis=1, bitorder="little")
     null = np.array([d is None for d in doc_ids], "u1")
     return b"".join(
@@ -98,7 +98,7 @@ def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
             if w not in (8, 16, 32):
                 planes, narrow = np.zeros((len(planes), 8 * np.dtype(wide).itemsize), "u1"), planes
                 planes[:, : int(w)] = narrow
-            a[at_w] = np.packbits(planes, axis=1, bitorder="little").view(wide).reshape(-1, BLOCK)
+            a[at_w] = np.packbits(planes.ravel(), bitorder="little").view(wide).reshape(-1, BLOCK)
     a[np.repeat(np.arange(blocks), odd), places] = values
     a += low[:, None]
     return [None if x else int(d) for d, x in zip(doc_ids.tolist(), null)], lengths, a.ravel()[:n]

@@ -32,7 +32,7 @@ SIMPLE = re.compile(rf"[\x00-\x7f{_LATIN}]*")
 DISPUTED = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 CUT = "\x02"
 BORDER = rf"([{_LATIN}])([{_MARKS}])".replace(r"\u", r"\x{").replace(r"\x{012f", r"\x{12f}").replace(r"\x{0131", r"\x{131}").replace(r"\x{024f", r"\x{24f}")
-PORTION = 12_000_000  # characters cut and numbered at a time
+PORTION = 20_000_000  # characters cut and numbered at a time
 MEMO = 700_000
 LONGEST = 64  # longer chunks are not kept
 
@@ -94,7 +94,9 @@ class MemoTokenizer:
         return out + self._portion(part)
 
     def _portion(self, texts: list[str]) -> list[bytes]:
-        easy = [i for i, t in enumerate(texts) if not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or CUT in t or DISPUTED.search(t))]
+        # printable: no control character and no white space but single blanks and line feeds
+        flat = [t.replace("\n", " ") for t in texts]
+        easy = [i for i, t in enumerate(flat) if "  " not in t and t.isprintable()]
         out: list = [None] * len(texts)
         for i, ids in zip(easy, self._by_table([texts[i] for i in easy])):
             out[i] = ids
