@@ -23,6 +23,7 @@ BINS = 128
 BLOCK = 512
 ROWS = 2048
 EXACT = 1 << 53
+LARGEST = (1 << 62) - 1  # of a score
 
 
 def integer_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -68,7 +69,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 10, slice_queries:
 
     Both inputs are (vec_id long, v array<long>), as `integer_vectors` makes them. Fewer than k candidates give
     fewer rows, none give none; vectors of different length are no pair; rows that repeat an id are candidates of
-    their own. Scores must fit a long. An empty side gives an empty result.
+    their own. Scores must be under 2^62. An empty side gives an empty result.
     """
     spark = corpus.sparkSession
     out_schema = "query_id long, vec_id long, score long"
@@ -100,7 +101,7 @@ def _select(spark, part: Slice, corpus: DataFrame, k: int, reach: float) -> np.n
     norms = np.zeros(len(part.ids))
     for n, at in part.dims.items():
         norms[at] = np.sqrt((part.matrix[n].astype("f8") ** 2).sum(1))
-    top = np.array([int(np.ceil(x * reach * (1 + 1e-9))) + 1 for x in norms], dtype=object)
+    top = np.array([min(int(np.ceil(x * reach * (1 + 1e-9))) + 1, LARGEST) for x in norms], dtype=object)
     low, width = -top, np.array([max(1, -(-(2 * int(t) + 1) // BINS)) for t in top], dtype=object)
     want = np.full(len(part.ids), k)
     done = np.zeros(len(part.ids), bool)
