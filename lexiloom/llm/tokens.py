@@ -32,8 +32,8 @@ SIMPLE = re.compile(rf"[\x00-\x7f{_LATIN}]*")
 DISPUTED = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 CUT = "\x02"
 BORDER = rf"([{_LATIN}])([{_MARKS}])".replace(r"\u", r"\x{").replace(r"\x{012f", r"\x{12f}").replace(r"\x{0131", r"\x{131}").replace(r"\x{024f", r"\x{24f}")
-PORTION = 20_000_000  # characters cut and numbered at a time
-MEMO = 700_000
+PORTION = 10_000_000  # characters cut and numbered at a time
+MEMO = 600_000
 LONGEST = 64  # longer chunks are not kept
 
 
