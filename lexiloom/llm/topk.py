@@ -2,7 +2,7 @@
 
 All candidates are scored against all queries, block by block. For each query a global histogram of scores over
 an integer range is summed from the partitions; the bin that holds the k-th highest value becomes the next range,
-until it is one value wide. Then every score from that value on is a result or a tie at the end, and ties go to
+with the bin's own upper end whatever the finer bins cover, until it is one value wide. Then every score from that value on is a result or a tie at the end, and ties go to
 the smaller id. A partition's histogram leaves out the bins under its own k-th value, which the global k-th
 value cannot be in. Queries go in slices of `slice_queries`, each broadcast with a known size.
 """
@@ -103,21 +103,22 @@ def _select(spark, part: Slice, corpus: DataFrame, k: int, reach: float) -> np.n
         norms[at] = np.sqrt((part.matrix[n].astype("f8") ** 2).sum(1))
     top = np.array([min(int(np.ceil(x * reach * (1 + 1e-9))) + 1, LARGEST) for x in norms], dtype=object)
     low, width = -top, np.array([max(1, -(-(2 * int(t) + 1) // BINS)) for t in top], dtype=object)
+    high = low + BINS * width  # exclusive; scores from there on are already taken from `want`
     want = np.full(len(part.ids), k)
     done = np.zeros(len(part.ids), bool)
     first = low.copy()
     while not done.all():
-        lo, w = low.astype("i8"), width.astype("i8")
-        box = spark.sparkContext.broadcast((part, lo, w, want, done))
+        lo, hi, w = low.astype("i8"), high.astype("i8"), width.astype("i8")
+        box = spark.sparkContext.broadcast((part, lo, hi, w, want, done))
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            part, lo, w, want, done = box.value
+            part, lo, hi, w, want, done = box.value
             bins = np.zeros((len(part.ids), BINS + 1), "i8")  # the last: scores over the range
             for q, ids, s in part.blocks(batches):
                 live = ~done[q]
                 q, s = q[live], s[live]
                 b = (s - lo[q][:, None]) // w[q][:, None]
-                ok = (b >= 0) & (b < BINS) & (ids[None, :] != part.ids[q][:, None])
+                ok = (b >= 0) & (s < hi[q][:, None]) & (ids[None, :] != part.ids[q][:, None])
                 at, col = np.nonzero(ok)
                 bins += np.bincount(q[at] * (BINS + 1) + b[at, col], minlength=bins.size).reshape(bins.shape)
             above = np.cumsum(bins[:, ::-1], axis=1)[:, ::-1] - bins  # scores in higher bins
@@ -137,6 +138,7 @@ def _select(spark, part: Slice, corpus: DataFrame, k: int, reach: float) -> np.n
                 done[q], low[q] = True, first[q]
                 continue
             low[q] = int(low[q]) + int(r["b"]) * int(width[q])
+            high[q] = min(int(high[q]), int(low[q]) + int(width[q]))
             want[q] -= r["above"]
             if width[q] == 1:
                 done[q] = True

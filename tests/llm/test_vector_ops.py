@@ -36,6 +36,21 @@ def test_topk_of_empty_sides(spark):
     assert topk.top_k(v, v, k=3).count() == 0
 
 
+def test_topk_of_close_scores_in_a_wide_range(spark):
+    rng = np.random.default_rng(5)
+    queries = [(q, [0] * q + [1] + [0] * (11 - q)) for q in range(12)]
+    far = (1000, [1 << 20] * 12)  # its norm sets the range that is searched
+    near = [(100 + i, v.tolist()) for i, v in enumerate(rng.integers(0, 300, (400, 12)) + rng.integers(0, 1 << 18, 12))]
+    rows = [*queries, far, *near]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    got = topk.top_k(df.where("vec_id < 100"), df, k=10)
+    want = []
+    for q, v in queries:
+        best = sorted((-int(np.dot(v, x)), i) for i, x in rows if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted(want)
+
+
 def test_vector_duplicates(spark):
     rng = np.random.default_rng(1)
     rows, n = [], 0
