@@ -2,7 +2,7 @@
 
 1. quality: the compression classifier, learned from `labels.quality`; rejected documents go.
 2. toxicity: nearest labelled examples, learned from `labels.toxic`; rejected documents go.
-3. near_dedup: MinHash near-duplicates; the smallest doc_id of each group stays.
+3. near_dedup: MinHash near-duplicates; the smallest doc_id of each group stays, and rows without a doc_id that copy none.
 4. secrets: what the secret scan finds is replaced by a mark in the text.
 5. packing: documents are tokenized and packed into sequences of at most 4096 tokens.
 
@@ -32,9 +32,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    found = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), with_key=True), "near-duplicates")
+    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     whole = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    copies = found.where("doc_id is null and not kept").select("set_key").distinct()  # a row without an id is known by its set
+    nameless = neardup.with_set_key(docs.where("doc_id is null")).join(copies, "set_key", "left_anti")
+    return whole.select(*docs.columns).unionByName(nameless.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

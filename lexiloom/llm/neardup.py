@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes), a signature of 128 minima and a 128-bit key of the
    whole set. Texts with equal sets are one representative, the smallest doc_id.
-2. Bands of five minima put representatives into buckets. A bucket is first compared with its smallest member
+2. Bands of minima (`banding`: five a band at 0.85, four at 0.8) put representatives into buckets. A bucket is first compared with its smallest member
    only: a star, not all pairs.
 3. A pair is compared 32 minima at a time and dropped as soon as the posterior probability (uniform prior) that
    its similarity reaches the threshold is under `miss`. Survivors are verified on their full shingle sets.
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import binomial_tail, materialize, release
 from .components import components
 
-HASHES, BANDS, ROWS = 128, 25, 5
+HASHES = 128
 BATCH = 32
 MISS = 1e-7
+BAND_MISS = 1e-6
 BLOCK = 256
 BITS, BIT_BATCH = 4096, 1024
 BROADCAST_IDS = 2_000_000
@@ -88,6 +89,28 @@ def bit_sketch(sets: np.ndarray) -> bytes:
     return np.packbits(m.astype(np.uint8)).tobytes()
 
 
+def banding(threshold: float, miss: float = BAND_MISS) -> tuple[int, int]:
+    """Bands and minima a band: the longest bands of HASHES minima that lose a pair at the threshold with probability `miss` at most."""
+    rows = next((r for r in range(HASHES, 1, -1) if (1 - threshold**r) ** (HASHES // r) <= miss), 1)
+    return HASHES // rows, rows
+
+
+def set_key(sets: np.ndarray) -> tuple[int, int]:
+    """128-bit key of a whole set, as two longs."""
+    key = hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
+def with_set_key(docs: DataFrame, *, text_col: str = "text", width: int = 5) -> DataFrame:
+    """All columns of `docs` and set_key (hi, lo), the key of the shingle set of a text."""
+
+    @F.pandas_udf("hi long, lo long")
+    def keys(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([set_key(shingles(t, width)) for t in texts], columns=["hi", "lo"], dtype="int64")
+
+    return docs.withColumn("set_key", keys(F.col(text_col)))
+
+
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     """By batches compared: the fewest matching minima with which a pair stays, P(similarity >= threshold | matches) >= miss."""
     out = []
@@ -125,8 +148,8 @@ def surviving(a: np.ndarray, b: np.ndarray, floor: list[int]) -> np.ndarray:
     return at
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", numerator: int = 85, denominator: int = 100, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of `docs`.
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", numerator: int = 85, denominator: int = 100, width: int = 5, with_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of `docs`; on demand set_key, the key of its shingle set.
 
     Texts are linked where denominator * |intersection| >= numerator * |union| of their shingle sets. Texts without
     words, null ones too, have empty sets and are linked with nothing. Rows with a null id belong to the component
@@ -136,16 +159,17 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """
     threshold = numerator / denominator
     floor = least_matches(threshold)
+    n_bands, n_rows = banding(threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n, hi, lo, sigs = [], [], [], []
             for t in batch["t"]:
                 s = shingles(t, width)
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                key = set_key(s)
                 n.append(len(s))
-                hi.append(int.from_bytes(key[:8], "little", signed=True))
-                lo.append(int.from_bytes(key[8:], "little", signed=True))
+                hi.append(key[0])
+                lo.append(key[1])
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n": n, "hi": hi, "lo": lo, "sig": sigs})
 
@@ -161,9 +185,9 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         if not len(sigs):
             return pd.Series([], dtype=object)
         a = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, HASHES).astype(np.uint64)
-        acc = np.zeros((len(a), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            acc = _mix(acc * _STEP + a[:, r : BANDS * ROWS : ROWS])
+        acc = np.zeros((len(a), n_bands), np.uint64) + np.arange(n_bands, dtype=np.uint64)
+        for r in range(n_rows):
+            acc = _mix(acc * _STEP + a[:, r : n_bands * n_rows : n_rows])
         return pd.Series(list(acc.view(np.int64)))
 
     buckets = own.select("id", F.posexplode(banded("sig")).alias("band", "bucket"))
@@ -187,11 +211,13 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("class"))
     out = signed.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("class", "id")).otherwise(F.col("id"))
+    key = [F.struct("hi", "lo").alias("set_key")] if with_key else []
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.col("id").isNull() & F.col("class").isNull()).alias("kept"),
+        *key,
     )
 
 
@@ -206,6 +232,7 @@ def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _between(left: DataFrame, own: DataFrame, texts: DataFrame, floor: list[int], bit_floor: list[int], threshold: float, width: int) -> DataFrame:
     """Pairs of different components within a bucket that pass the sequential test, block against block."""
+    n_bands, n_rows = banding(threshold)
 
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
@@ -239,7 +266,7 @@ def _between(left: DataFrame, own: DataFrame, texts: DataFrame, floor: list[int]
                     keep = (k + 1) * BIT_BATCH - unequal >= least
                     y, unequal = y[keep], unequal[keep]
                 if len(y):  # of the bands in which the two meet, the first reports them
-                    meets = (sig[x, : BANDS * ROWS] == sig[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+                    meets = (sig[x, : n_bands * n_rows] == sig[y, : n_bands * n_rows]).reshape(-1, n_bands, n_rows).all(2)
                     z = y[meets.argmax(1) == band]
                     yield pd.DataFrame({"u": np.minimum(ids[x], ids[z]), "v": np.maximum(ids[x], ids[z])})
 

@@ -50,7 +50,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), numerator=85, denominator=100)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,14 @@ def test_stages(spark, sf_dir):
     assert stage["secrets"](spark, docs, sf_dir).columns == docs.columns
 
 
+def test_near_dedup_of_rows_without_id(spark, sf_dir):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b  c d e f g"), (None, "x y z p q r s"), (None, None), (None, "a b c d e f h i")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([rows[0], *rows[3:]], key=str)
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     bins = {}

@@ -109,6 +109,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_bands_lose_no_pair_at_either_threshold():
+    for threshold in (0.85, 0.8):
+        bands, rows = neardup.banding(threshold)
+        assert bands * rows <= neardup.HASHES and (1 - threshold**rows) ** bands <= 1e-6
+    assert neardup.banding(0.85) == (25, 5)
+
+
 def test_near_duplicates_edge_cases(spark):
     empty = spark.createDataFrame([], DOCS)
     assert neardup.near_duplicates(empty).collect() == []
