@@ -11,8 +11,10 @@ template block (the same text, equally often, on every page) has importance 0, a
 has 1. A page loses its blocks on paths of low importance.
 
 Elements whose name, role or class says what they are (menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments of readers) are nodes of importance 0 on any host, known in advance; a page that
-marks its article keeps what lies in it, and no more than half of an article is ever taken for template.
+forms, comments of readers) are nodes of importance 0 on any host, known in advance, unless they hold the article
+or main element or most of the page's text: these are wrappers. Inside an article, class words that articles use
+too (alert, related, social) only halve a node's importance. A page that marks its article keeps what lies in it,
+and no more than half of an article is ever taken for template.
 """
 
 from __future__ import annotations
@@ -45,6 +47,11 @@ NOISE_WORDS = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OUTER_NOISE = frozenset("header masthead topbar".split())
+#: Never text; the other elements of DROPPED and the words are overruled for wrappers.
+NEVER = DROPPED - frozenset("head nav aside footer form dialog menu fieldset".split())
+#: Of NOISE_WORDS those that sections of an article carry as well.
+AMBIGUOUS = frozenset("banner promo promotion notice notification alert popup modal overlay sidebar menu share sharing social related recommended recommendations widget toolbar skip masthead topbar respond subscription".split())
+LOWERED = "~"  # ends the path of a block in such a section
 
 TAG = re.compile(r"""<!--(?:.*?-->|-?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -77,39 +84,38 @@ def _attributes(raw: str) -> dict[str, str]:
 def read_blocks(page: str | None) -> list[Block]:
     """Blocks of a page outside elements known as noise. root: 2 in an article, 1 in the main element, 0 elsewhere."""
     page = page or ""
-    out: list[Block] = []
-    # of every open element: name, style name, is noise, root
-    stack: list[tuple[str, str, bool, int]] = []
-    parts: list[str] = []
-    linked = 0
-    noise = 0
+    # path, text with the suspects around it and whether it is linked, root
+    raw_blocks: list[tuple[str, list[tuple[str, tuple[int, ...], bool]], int]] = []
+    # of every open element: name, style name, its number as a suspect or -1, root, is lowered
+    stack: list[tuple[str, str, int, int, bool]] = []
+    parts: list[tuple[str, tuple[int, ...], bool]] = []
+    #: of every suspect: may an article or main element clear it, may most of the text
+    suspects: list[tuple[bool, bool]] = []
+    around: tuple[int, ...] = ()
+    never = 0
     at, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                chain = [s[1] for s in stack if s[0] in BLOCKS or s[0] in ("td", "th")]
-                out.append(Block("/".join(chain), text, linked / max(1, len(text)), max((s[3] for s in stack), default=0)))
+            chain = [s[1] for s in stack if s[0] in BLOCKS or s[0] in ("td", "th")]
+            low = LOWERED if any(s[4] for s in stack) else ""
+            raw_blocks.append(("/".join(chain) + low, parts.copy(), max((s[3] for s in stack), default=0)))
         parts.clear()
-        linked = 0
 
     def close(depth: int) -> None:
-        nonlocal noise
+        nonlocal around, never
         if any(s[0] in BLOCKS for s in stack[depth:]):
             flush()
-        noise -= sum(s[2] for s in stack[depth:])
+        gone = sum(s[2] >= 0 for s in stack[depth:])
+        around = around[: len(around) - gone]
+        never -= sum(s[2] == -2 for s in stack[depth:])
         del stack[depth:]
 
     while at < end:
         m = TAG.search(page, at)
         upto = m.start() if m else end
-        if upto > at and not noise:
-            piece = page[at:upto]
-            parts.append(piece)
-            if any(s[0] == "a" for s in stack[-3:]):
-                linked += len(piece.strip())
+        if upto > at and not never:
+            parts.append((page[at:upto], around, any(s[0] == "a" for s in stack[-3:])))
         if not m:
             break
         at = m.end()
@@ -146,32 +152,59 @@ def read_blocks(page: str | None) -> list[Block]:
                         break
         if name in BLOCKS:
             flush()
-        if name in SPACED and not noise:
-            parts.append(" ")
+        if name in SPACED and not never:
+            parts.append((" ", around, False))
         if name in VOID or raw.endswith("/") and name in ("svg", "path"):
             continue
         attributes = _attributes(raw)
         words = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
         root = 2 if name == "article" else 1 if name == "main" or attributes.get("role", "").lower() == "main" else 0
         inside = root or any(s[3] for s in stack)
-        bad = (
+        named = NOISE_WORDS.intersection(words) if name not in ("html", "body") else frozenset()
+        ambiguous = bool(inside) and named <= AMBIGUOUS
+        certain = (
             name in DROPPED
             or attributes.get("role", "").lower() in NOISE_ROLES
             or "hidden" in attributes
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-            or (name not in ("html", "body") and bool(NOISE_WORDS.intersection(words)))
-            or (not inside and (name == "header" or (name not in ("html", "body") and bool(OUTER_NOISE.intersection(words)))))
         )
+        worded = bool(named) and not ambiguous or (not inside and (name == "header" or (name not in ("html", "body") and bool(OUTER_NOISE.intersection(words)))))
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not bad and not noise:
-                parts.append(page[at : stop.start() if stop else end])
+            if not certain and not worded and not never:
+                parts.append((page[at : stop.start() if stop else end], around, False))
             at = stop.end() if stop else end
             continue
+        number = -1
+        if name in NEVER:
+            number = -2
+            never += 1
+        elif certain or worded:
+            number = len(suspects)
+            # inside an article only a form can be the wrapper of its text
+            suspects.append((worded and not certain or name == "form", not any(s[3] for s in stack) or name == "form"))
+            around += (number,)
         style = ".".join([name, *sorted(set(words))[:4]])
-        stack.append((name, style, bad, 0 if bad else root))
-        noise += bad
+        stack.append((name, style, number, root, bool(named) and ambiguous and not root))
     flush()
+
+    whole, rooted, held, held_root = 0, 0, [0] * len(suspects), [0] * len(suspects)
+    if suspects:
+        for _, pieces, root in raw_blocks:
+            for t, marks, _ in pieces:
+                n = len(t.strip())
+                whole += n
+                rooted += n if root else 0
+                for k in marks:
+                    held[k] += n
+                    held_root[k] += n if root else 0
+    guilty = {k for k, (by_root, by_size) in enumerate(suspects) if not (by_size and 2 * held[k] > whole or by_root and by_size and 2 * held_root[k] > rooted)}
+    out: list[Block] = []
+    for path, pieces, root in raw_blocks:
+        mine = [(t, link) for t, marks, link in pieces if guilty.isdisjoint(marks)]
+        text = " ".join(html.unescape("".join(t for t, _ in mine)).split())
+        if text:
+            out.append(Block(path, text, sum(len(t.strip()) for t, link in mine if link) / len(text), root))
     return out
 
 
@@ -187,7 +220,7 @@ def chosen(blocks: list[Block]) -> tuple[list[Block], bool]:
 def main_text(page: str | None, dull: frozenset[str] | set[str] = frozenset()) -> str:
     """Text of a page; `dull`: the paths of low importance on its host."""
     blocks, marked = chosen(read_blocks(page))
-    kept = [b for b in blocks if b.path not in dull]
+    kept = [b for b in blocks if b.path not in dull and not (b.path.endswith(LOWERED) and b.link >= 0.5)]
     if not marked:
         kept = [b for b in kept if b.link < 0.5] or kept
     whole = sum(len(b.text) for b in blocks)
@@ -239,6 +272,7 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     presentation = F.lit(1) - F.col("shape_log") / F.col("pages") / log_m  # entropy of a count distribution, in units of log(pages)
     content = F.lit(1) - F.col("text_log") / F.col("texts") / log_m
     importance = F.when(F.col("pages") >= LEAST_PAGES, 0.1 * presentation + 0.9 * content).otherwise(1.0)
+    importance = importance * F.when(F.col("path").endswith(LOWERED), 0.5).otherwise(1.0)
     return per.select("host", "path", importance.alias("importance"), "pages")
 
 

@@ -325,6 +325,18 @@ def test_main_text_of_a_marked_article():
     assert htmltext.main_text("<p>a<!-- <p>x --><p title='>'>b<p>c<a href=\"") == "a\nb\nc"
 
 
+def test_wrappers_with_noise_words_keep_the_page():
+    text = "<article><h1>Head</h1><p>A story of some length, with words.</p></article>"
+    noise = "<nav><a href=/>Home</a></nav><footer>Foot</footer>"
+    want = "Head\nA story of some length, with words."
+    for page in (f"<div class=has-sidebar>{noise}{text}</div>", f"<div id='page' class='nav-open'>{text}</div>{noise}", f"{noise}<form id=f>{text}<div class=ad>Buy</div></form>", noise + text.replace("<article", "<article class='post social'")):
+        assert htmltext.main_text(f"<html><body>{page}</body></html>") == want
+    assert htmltext.main_text(f"{noise}<div class=widget>{'Only text of the page. ' * 5}</div>") == ("Only text of the page. " * 5).strip()
+    inner = "<article><p>One</p><section id=related-work><p>Earlier papers did this.</p></section><div class=alert>Mind the gap</div><div class=share><a href=/>Share it</a></div><section class=comments>Nice</section></article>"
+    assert htmltext.main_text(inner) == "One\nEarlier papers did this.\nMind the gap"
+    assert htmltext.main_text(f"<aside><article>Teaser</article></aside><div>{'The page itself. ' * 5}</div>") == ("The page itself. " * 5).strip()
+
+
 def test_style_tree_finds_the_template(spark):
     def page(i):
         return f"<body><div class=top><p>Welcome to our site, dear reader</p></div><div class=body><p>Story {i} begins here {hashlib.md5(str(i).encode()).hexdigest()}</p>" + "".join(f"<p>Part {i}-{k}</p>" for k in range(i % 4)) + "</div><div class=bottom><p>All rights reserved by us</p></div></body>"
