@@ -1,14 +1,15 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
-Terms are whole words and word beginnings of 5 to 7 letters, the latter marked by a star; those that chi-square
-ties to the label make up the vocabulary. Examples are stored in blocks; for each term the index holds postings
-by block and the largest weight in the block. A query visits blocks in falling order of their upper bound and
-stops when no block can reach its k nearest, which is exact. The neighbours vote with weight 1 / (1.05 - cosine);
-a logistic calibration fitted on leave-one-out votes makes the vote a probability.
+Terms are whole words and word beginnings of 5 to 7 letters, the latter marked by a star. All terms of at least two
+examples are indexed, whichever label they lean to; document frequencies are those of all documents. A term's weight
+is its TF-IDF times how closely chi-square ties it to the label, LEAST_TIE at least, so that every term counts. All
+postings of a query's terms are added up, which is exact. The neighbours vote with weight 1 / (1.05 - cosine); a
+logistic calibration fitted on leave-one-out votes makes the vote a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections import Counter
@@ -25,10 +26,9 @@ from .common import bounded_sample, fit_logistic, materialize, only_cache, relea
 WORD = re.compile(r"\w+")
 PREFIXES = (5, 6, 7)
 SAMPLE_PER_CLASS = 3000
-VOCABULARY = 256
-MIN_DF = 8
+MIN_DF = 2
+LEAST_TIE = 0.02
 NEIGHBOURS = 64
-BLOCK = 64
 SHARPNESS = 1.05
 MEMO = 100_000
 TERM_ROWS = 50_000  # rows of one batch to Spark
@@ -46,60 +46,48 @@ def terms(text: str | None) -> Counter:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with block maxima; `nearest` is exact top-k by cosine."""
-
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: int = BLOCK):
-        lead = vectors.argmax(1) if vectors.shape[1] else np.zeros(len(vectors), int)
-        order = np.lexsort((ids, lead))  # alike examples share blocks, which tightens the bounds
-        self.order, self.ids, self.block = order, ids[order], block
-        v = vectors[order]
-        self.blocks = -(-len(v) // block)
-        padded = np.zeros((self.blocks * block, v.shape[1]))
-        padded[: len(v)] = v
-        self.bounds = padded.reshape(self.blocks, block, -1).max(1).T.copy() if len(v) else np.zeros((v.shape[1], 0))
-        self.starts, self.docs, self.weights = [], [], []
-        for t in range(v.shape[1]):
-            docs = np.flatnonzero(v[:, t])
-            self.docs.append(docs % block)
-            self.weights.append(v[docs, t])
-            self.starts.append(np.searchsorted(docs, np.arange(self.blocks + 1) * block))
+    """Postings of unit vectors by term; `nearest` is exact top-k by cosine. `block` has no effect."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: int = 0):
+        rows, cols = np.nonzero(vectors)
+        self._fill(rows, cols, vectors[rows, cols], ids, vectors.shape[1])
+
+    @classmethod
+    def of_cells(cls, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, ids: np.ndarray, terms: int) -> "BlockMaxIndex":
+        """From the cells of a sparse matrix of unit vectors."""
+        out = cls.__new__(cls)
+        out._fill(rows, cols, weights, ids, terms)
+        return out
+
+    def _fill(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, ids: np.ndarray, terms: int) -> None:
+        self.ids, self.order = ids, np.arange(len(ids))
+        by = np.argsort(cols, kind="stable")
+        self.docs, self.weights = rows[by].astype("i4"), weights[by]
+        self.starts = np.searchsorted(cols[by], np.arange(terms + 1)).tolist()
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines (over 0) of the k nearest; ties to the smaller example id. `without`: a position left out."""
-        bound = w @ self.bounds[at]
-        found, cosines, floor = np.zeros(0, int), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < floor - 1e-12):
-                break
-            acc = np.zeros(self.block)
-            for t, x in zip(at, w):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if hi > lo:
-                    acc[self.docs[t][lo:hi]] += x * self.weights[t][lo:hi]
-            hit = np.flatnonzero(acc > 0)
-            if len(found) >= k:
-                hit = hit[acc[hit] >= floor - 1e-12]
-            pos = hit + b * self.block
-            if without >= 0:
-                hit, pos = hit[pos != without], pos[pos != without]
-            if not len(hit):
-                continue
-            found, cosines = np.concatenate([found, pos]), np.concatenate([cosines, acc[hit]])
-            if len(found) > k:
-                best = np.lexsort((self.ids[found], -np.round(cosines, 12)))[:k]
-                found, cosines = found[best], cosines[best]
-                floor = cosines.min()
-            elif len(found) == k:
-                floor = cosines.min()
-        best = np.lexsort((self.ids[found], -np.round(cosines, 12)))
-        return found[best], cosines[best]
+        if not len(at):
+            return np.zeros(0, int), np.zeros(0)
+        spans = [(self.starts[t], self.starts[t + 1]) for t in at.tolist()]
+        docs = np.concatenate([self.docs[a:b] for a, b in spans])
+        parts = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(w, [b - a for a, b in spans])
+        acc = np.bincount(docs, parts, minlength=len(self.ids))
+        if without >= 0:
+            acc[without] = 0.0
+        found = np.flatnonzero(acc > 0)
+        if len(found) > k:
+            floor = np.partition(acc[found], len(found) - k)[len(found) - k]
+            found = found[acc[found] >= floor - 1e-11]
+        best = found[np.lexsort((self.ids[found], -np.round(acc[found], 12)))[:k]]
+        return best, acc[best]
 
 
 @dataclass
 class ToxicityModel:
     vocabulary: list[str]
-    idf: np.ndarray
-    vectors: np.ndarray
+    idf: np.ndarray  # times the tie to the label
+    cells: tuple[np.ndarray, np.ndarray, np.ndarray]  # example, term and weight
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
@@ -109,18 +97,14 @@ class ToxicityModel:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-class _Voter:
-    def __init__(self, m: ToxicityModel):
-        self.m = m
-        self.at = {t: i for i, t in enumerate(m.vocabulary)}
-        self.index = BlockMaxIndex(m.vectors, m.ids)
-        self.y, self.w = m.labels[self.index.order], m.weights[self.index.order]
-        self.prior = float((m.weights * m.labels).sum() / max(1e-9, m.weights.sum())) if len(m.labels) else 0.0
+class _Lookup:
+    """Vocabulary positions of the terms of a text."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.at = {t: i for i, t in enumerate(vocabulary)}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.seen: dict[tuple, tuple] = {}
 
-    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary positions and unit TF-IDF weights of a whole text."""
+    def counts(self, text: str | None) -> dict[int, int]:
         counts: dict[int, int] = {}
         words, at = self.words, self.at
         for w, n in Counter(WORD.findall((text or "").lower())).items():
@@ -131,6 +115,21 @@ class _Voter:
                 hits = words[w] = tuple(at[t] for t in (w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)) if t in at)
             for t in hits:
                 counts[t] = counts.get(t, 0) + n
+        return counts
+
+
+class _Voter:
+    def __init__(self, m: ToxicityModel):
+        self.m = m
+        self.lookup = _Lookup(m.vocabulary)
+        self.index = BlockMaxIndex.of_cells(*m.cells, m.ids, len(m.vocabulary))
+        self.y, self.w = m.labels[self.index.order], m.weights[self.index.order]
+        self.prior = float((m.weights * m.labels).sum() / max(1e-9, m.weights.sum())) if len(m.labels) else 0.0
+        self.seen: dict[bytes, tuple] = {}
+
+    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary positions and unit TF-IDF weights of a whole text."""
+        counts = self.lookup.counts(text)
         pos = np.array(sorted(counts), dtype=int)
         return pos, unit(pos, np.array([counts[p] for p in pos.tolist()], float), self.m.idf)
 
@@ -141,16 +140,18 @@ class _Voter:
         return raw, self.index.ids[found[:5]].tolist(), [round(float(c), 6) for c in cos[:5]]
 
     def judge(self, text: str | None) -> tuple[float, list, list]:
-        pos, w = self.query(text)
-        if not len(pos):
-            return self.m.silent, [], []
-        key = (pos.tobytes(), w.tobytes())
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         out = self.seen.get(key)
         if out is None:
             if len(self.seen) > 20_000:
                 self.seen.clear()
-            raw, ids, cos = self.vote(pos, w)
-            out = self.seen[key] = (float(calibrate(np.array([raw]), self.m.beta)[0]), ids, cos)
+            pos, w = self.query(text)
+            if len(pos):
+                raw, ids, cos = self.vote(pos, w)
+                out = float(calibrate(np.array([raw]), self.m.beta)[0]), ids, cos
+            else:
+                out = self.m.silent, [], []
+            self.seen[key] = out
         return out
 
 
@@ -164,7 +165,7 @@ def calibrate(raw: np.ndarray, beta: list[float]) -> np.ndarray:
     return sigmoid(beta[0] + beta[1] * np.log(raw / (1 - raw)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS, vocabulary: int = VOCABULARY, neighbours: int = NEIGHBOURS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS, neighbours: int = NEIGHBOURS) -> ToxicityModel:
     """Index at most `sample_per_class` labelled documents of each class, chosen by hash, whole texts.
 
     Null ids and labels other than 0 and 1 are left out; of rows that repeat an id the smallest text and label
@@ -175,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     base = (n1 + 1) / (n0 + n1 + 2)
-    empty = ToxicityModel([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, "int64"), np.zeros(0), np.zeros(0), [0.0, 1.0], base, neighbours)
+    empty = ToxicityModel([], np.zeros(0), (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), np.zeros(0, "int64"), np.zeros(0), np.zeros(0), [0.0, 1.0], base, neighbours)
     if not n0 or not n1:
         return empty
     picked = bounded_sample(known.where("y = 0"), "doc_id", sample_per_class, n0).unionByName(bounded_sample(known.where("y = 1"), "doc_id", sample_per_class, n1))
@@ -214,53 +215,69 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     if not p or not q:
         release(sample)
         return empty
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    b, n = df - a, float(p + q)
-    cross = a * (q - b) - b * (p - a)
-    chosen = (
-        sample.groupBy("term")
-        .agg(F.sum("y").alias("a"), F.count("*").alias("df"))
-        .where((F.col("df") >= MIN_DF) & (F.col("df") < n))
-        .select("term", "a", "df", (n * cross * cross / (df * float(p) * float(q) * (n - df))).alias("chi"))
-        .where(cross > 0)
-        .orderBy(F.desc("chi"), "term")
-        .limit(vocabulary)
-        .collect()
-    )
-    if not chosen:
+    found = sample.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= MIN_DF).orderBy("term").toArrow()
+    vocab = found["term"].to_pylist()  # no more than the sampled texts hold
+    if not vocab:
         release(sample)
         return empty
-    vocab = [r["term"] for r in chosen]
-    # document frequencies are counted over a sample with unequal classes: weigh the classes back
+    a, df = found["a"].to_numpy().astype(float), found["df"].to_numpy().astype(float)
+    n = float(p + q)
+    cross = a * (q - (df - a)) - (df - a) * (p - a)
+    tie = np.abs(cross) / np.sqrt(np.maximum(df * p * q * (n - df), 1e-9))  # root of chi-square / n
     r1, r0 = n1 / p, n0 / q
-    share = np.array([(r["a"] * r1 + (r["df"] - r["a"]) * r0) for r in chosen]) / (n1 + n0)
-    idf = np.log(1 / np.maximum(share, 1e-9)) + 1
-    at = {t: i for i, t in enumerate(vocab)}
-    hits = sample.where(F.col("term").isin(vocab)).select("doc_id", "y", "term", "n").collect()
-    by: dict[int, dict[int, int]] = {}
-    label: dict[int, int] = {}
-    for r in hits:  # at most 2 x sample_per_class x vocabulary cells
-        by.setdefault(r["doc_id"], {})[at[r["term"]]] = r["n"]
-        label[r["doc_id"]] = r["y"]
+    idf = _idf(docs, text_col, vocab) * (LEAST_TIE + tie)
+    box = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {t: i for i, t in enumerate(box.value)}
+        for batch in batches:
+            t = batch["term"].map(at)
+            known = t.notna()
+            yield pd.DataFrame({"doc_id": batch["doc_id"][known], "y": batch["y"][known], "t": t[known].astype("int32"), "n": batch["n"][known]})
+
+    hits = sample.mapInPandas(placed, "doc_id long, y int, t int, n int").toArrow()  # a cell for each term of a sampled text
     release(sample)
-    ids = np.array(sorted(by), dtype="int64")
-    vectors = np.zeros((len(ids), len(vocab)))
-    for i, d in enumerate(ids.tolist()):
-        pos = np.array(sorted(by[d]))
-        vectors[i, pos] = unit(pos, np.array([by[d][x] for x in pos.tolist()], float), idf)
-    y = np.array([label[d] for d in ids.tolist()], float)
+    doc, cell_y, cols, times = (hits[c].to_numpy() for c in ("doc_id", "y", "t", "n"))
+    by_cell = np.lexsort((cols, doc))
+    doc, cell_y, cols, times = doc[by_cell], cell_y[by_cell], cols[by_cell], times[by_cell]
+    ids, first, rows = np.unique(doc, return_index=True, return_inverse=True)
+    w = (1 + np.log(times)) * idf[cols]
+    w = w / np.sqrt(np.bincount(rows, w * w))[rows]
+    y = cell_y[first].astype(float)
     mean = (n0 + n1) / (p + q)
     weights = np.where(y == 1, r1, r0) / mean
     quiet1, quiet0 = (p - y.sum()) * r1, (q - (len(y) - y.sum())) * r0
     silent = float((quiet1 + base) / (quiet1 + quiet0 + 1))
-    model = ToxicityModel(vocab, idf, vectors, ids, y, weights, [0.0, 1.0], silent, neighbours)
+    model = ToxicityModel(vocab, idf, (rows.astype("i4"), cols.astype("i4"), w.astype("f4")), ids, y, weights, [0.0, 1.0], silent, neighbours)
     voter = _Voter(model)
-    raw = np.array([voter.vote(np.flatnonzero(v), v[v > 0], i)[0] for i, v in enumerate(vectors[voter.index.order])])
+    ends = [*first.tolist(), len(doc)]
+    raw = np.array([voter.vote(cols[lo:hi], w[lo:hi], i)[0] for i, (lo, hi) in enumerate(zip(ends, ends[1:]))])
     x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / np.clip(1 - raw, 1e-4, 1))[:, None]
     model.beta = fit_logistic(x, voter.y, voter.w).tolist()
     return model
 
 
+def _idf(docs: DataFrame, text_col: str, vocab: list[str]) -> np.ndarray:
+    """Inverse document frequencies of the terms over all documents."""
+    box = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup = _Lookup(box.value)
+        df = np.zeros(len(box.value) + 1, "int64")  # the last: documents
+        for batch in batches:
+            for t in batch["t"]:
+                df[list(lookup.counts(t))] += 1
+            df[-1] += len(batch)
+        t = np.flatnonzero(df)
+        for lo in range(0, len(t), TERM_ROWS):
+            yield pd.DataFrame({"t": t[lo : lo + TERM_ROWS], "n": df[t[lo : lo + TERM_ROWS]]})
+
+    sums = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocab) + 1)
+    df[sums["t"].to_numpy()] = sums["n"].to_numpy()
+    return np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """All columns of `docs` and toxicity_score (0 to 1), toxicity_label (1 if score >= 0.5), toxicity_evidence.
 
@@ -269,9 +286,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     Columns of these names in the input are replaced.
     """
 
+    box, key = docs.sparkSession.sparkContext.broadcast(model), model.key
+
     @F.pandas_udf("score double, ids array<long>, cosines array<double>")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        voter = _cached(model)
+        voter = _cached(key, box)
         rows = [voter.judge(t) for t in texts]
         return pd.DataFrame({"score": [r[0] for r in rows], "ids": [r[1] for r in rows], "cosines": [r[2] for r in rows]})
 
@@ -289,9 +308,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
 _voters: dict[str, _Voter] = {}
 
 
-def _cached(m: ToxicityModel) -> _Voter:
+def _cached(key: str, box) -> _Voter:
     only_cache("toxicity", _voters.clear)
-    if m.key not in _voters:
+    if key not in _voters:
         _voters.clear()
-        _voters[m.key] = _Voter(m)
-    return _voters[m.key]
+        _voters[key] = _Voter(box.value)
+    return _voters[key]

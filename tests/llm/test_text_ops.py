@@ -46,6 +46,18 @@ def test_classifier_edge_cases(fit, score, column, spark):
     assert score(docs.limit(0), model).count() == 0
 
 
+def test_every_labelled_text_is_an_example(spark):
+    texts = [f"common word{i // 2} rare{i // 2} calm" for i in range(20)] + [f"common nasty{i // 2} bad" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i >= 20)) for i in range(40)], "doc_id long, toxic int"))
+    assert sorted(model.ids.tolist()) == list(range(40)) and {"calm", "rare3", "nasty7", "common"} <= set(model.vocabulary)
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, "calm") for i in range(500)], DOCS))
+    idf = dict(zip(["bad", "calm"], toxicity._idf(more, "text", ["bad", "calm"])))
+    assert abs(idf["calm"] - np.log(541 / 521) - 1) < 1e-9 and abs(idf["bad"] - np.log(541 / 21) - 1) < 1e-9
+    evidence = {r["doc_id"]: r["toxicity_evidence"][0]["doc_id"] // 2 for r in toxicity.score_toxicity(docs, model).collect()}
+    assert evidence == {i: i // 2 for i in range(40)}
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(0)
     x = np.where(rng.random((500, 30)) < 0.2, rng.random((500, 30)), 0.0)
