@@ -47,6 +47,20 @@ def test_greedy_order(spark):
     assert clustering.greedy_order(c.where("cluster = 1")) == [1]
 
 
+def test_hard_batch_sees_every_row(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(450, 4))
+    x[400:] /= 50  # the shortest rows come last
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, v array<double>").repartition(3)
+    total, left, want = np.zeros(4), np.ones(450, bool), []
+    for _ in range(4):
+        at = int(np.where(left, np.round(((total + x) ** 2).sum(1), 10), np.inf).argmin())
+        total, left[at] = total + x[at], False
+        want.append(at)
+    assert max(want) >= 400 and clustering.hard_batch(df, 4) == want
+    assert len(clustering.hard_batch(df.limit(2), 4)) == 2
+
+
 def test_topk_excludes_self_and_orders_ties(spark):
     c = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(4)] + [(4, [0.0, 0.0]), (5, [0.0, 1.0])], "did long, v array<double>")
     q = c.where("did in (1, 4)").select(F.col("did").alias("qid"), "v")
