@@ -41,6 +41,16 @@ def release(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+def join_back(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """Join rows with an aggregate over their own `key`, a long.
+
+    The key is shifted: else the join takes the aggregate's exchange for its own, which Spark cannot split. So both
+    sides have exchanges that were made for the join, and a partition with a hot key is split while the query runs.
+    """
+    shifted = F.col(key).bitwiseXOR(F.lit(1).cast("long"))
+    return rows.withColumn("_shifted", shifted).join(sums.withColumn("_shifted", shifted).drop(key), "_shifted").drop("_shifted")
+
+
 _caches: dict[str, Callable[[], None]] = {}
 
 

@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
-
-MAX_ROUNDS = 60
+from .common import join_back, materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) long pairs, u != v -> (node, component): the smallest node reachable, for every node of a link.
 
     Each round rewrites the links as stars around smaller nodes and writes them to the work folder; it stops when
-    a round changes nothing, after about log2 of the longest path rounds.
+    a round changes nothing, after about log2 of the longest path rounds. Links of a hub can be split among tasks.
     """
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     digest = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # large star: every larger neighbour of u is tied to the least node around u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_back(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = join_back(large, low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = materialize(small, "links")
         release(edges)
         edges = new

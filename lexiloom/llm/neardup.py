@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binomial_tail, materialize, release
+from .common import binomial_tail, join_back, materialize, release
 from .components import components
 
 HASHES = 128
 BATCH = 32
 MISS = 1e-7
 BAND_MISS = 1e-6
-BLOCK = 256
+BLOCK = 1024
 BITS, BIT_BATCH = 4096, 1024
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240607)
@@ -192,33 +192,38 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
 
     buckets = own.select("id", F.posexplode(banded("sig")).alias("band", "bucket"))
     least = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(buckets.join(least.select("bucket", "hub"), "bucket"), "buckets")
+    buckets = materialize(join_back(buckets, least.select("bucket", "hub"), "bucket"), "buckets")
     star = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     texts = _wanted(texts.where("id is not null"), buckets.select("id").distinct())
-    links = materialize(_verified(star, own, texts, floor, numerator, denominator, width, screened=False), "links")
+    links = _verified(star, own, texts, floor, numerator, denominator, width, screened=False)
     comps = components(links)
     # buckets with several components left: full comparison between components, in blocks
     named = buckets.select("bucket", "band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = materialize(named.select("bucket", "band", "id", "c"), "members")
     split = named.groupBy("bucket").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c"), F.count("*").alias("size")).where("lo_c < hi_c and size > 2")
-    left = materialize(named.join(split.select("bucket", "size"), "bucket").select("bucket", "band", "size", "id", "c"), "unsettled")
+    left = materialize(join_back(named, split.select("bucket", "size"), "bucket").select("bucket", "band", "size", "id", "c"), "unsettled")
+    release(named)
     pairs = _between(left, own, texts, floor, least_bits(threshold), threshold, width)
-    found = _verified(pairs, own, texts, floor, numerator, denominator, width, screened=True)
-    more = materialize(found, "links")
+    more = _verified(pairs, own, texts, floor, numerator, denominator, width, screened=True)
     release(left)
     comps = materialize(components(links.unionByName(more)), "components")
-    for x in (links, more, buckets, texts):
+    for x in (links, more, buckets, texts, own):
         release(x)
     classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("class"))
     out = signed.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("class", "id")).otherwise(F.col("id"))
     key = [F.struct("hi", "lo").alias("set_key")] if with_key else []
-    return out.select(
+    out = out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.col("id").isNull() & F.col("class").isNull()).alias("kept"),
         *key,
     )
+    out = materialize(out, "near-duplicates")
+    for x in (signed, reps, comps):
+        release(x)
+    return out
 
 
 def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -270,7 +275,9 @@ def _between(left: DataFrame, own: DataFrame, texts: DataFrame, floor: list[int]
                     z = y[meets.argmax(1) == band]
                     yield pd.DataFrame({"u": np.minimum(ids[x], ids[z]), "v": np.maximum(ids[x], ids[z])})
 
-    return rows.mapInPandas(compare, "u long, v long").where("u <> v").distinct()
+    pairs = materialize(rows.mapInPandas(compare, "u long, v long").where("u <> v").distinct(), "pairs")
+    release(sketched)
+    return pairs
 
 
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -293,7 +300,7 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 
 
 def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame, floor: list[int], numerator: int, denominator: int, width: int, screened: bool) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets meet the threshold; first the sequential test, unless done."""
+    """The pairs (u, v) whose full shingle sets meet the threshold, written; first the sequential test, unless it is done and `pairs` written."""
     if not screened:
 
         @F.pandas_udf("boolean")
@@ -308,7 +315,7 @@ def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame, floor: list[in
         sig = own.select("id", "sig")
         pairs = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
         pairs = pairs.where(stays("su", "sv")).select("u", "v").distinct()
-    pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     full = texts.join(ends, "id", "left_semi").select("id", "t")
 
@@ -332,4 +339,6 @@ def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame, floor: list[in
 
     a = full.select(F.col("id").alias("u"), F.col("t").alias("tu"))
     b = full.select(F.col("id").alias("v"), F.col("t").alias("tv"))
-    return pairs.join(a, "u").join(b, "v").where(linked("tu", "tv")).select("u", "v").distinct()
+    links = materialize(pairs.join(a, "u").join(b, "v").where(linked("tu", "tv")).select("u", "v").distinct(), "links")
+    release(pairs)
+    return links
