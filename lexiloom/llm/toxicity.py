@@ -1,10 +1,16 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
-
-Terms are whole words and word beginnings of 5 to 7 letters, the latter marked by a star. All terms of at least two
-examples are indexed, whichever label they lean to; document frequencies are those of all documents. A term's weight
-is its TF-IDF times how closely chi-square ties it to the label, LEAST_TIE at least, so that every term counts. All
-postings of a query's terms are added up, which is exact. The neighbours vote with weight 1 / (1.05 - cosine); a
-logistic calibration fitted on leave-one-out votes makes the vote a probability.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+
+Terms are whole words and word beginnings of 5 to 7 letters, the latter marked by a star and only where they join
+several words. All terms of at least two examples are indexed, whichever label they lean to; document frequencies are
+those of all documents. A term's weight
+is its TF-IDF times how closely chi-square ties it to the label (supervised term weighting), LEAST_TIE at least, so
+that every term counts. The neighbours vote with weight 1 / (1.05 - cosine); a logistic calibration fitted on
+leave-one-out votes makes the vote a probability.
+
+The index: short posting lists are added up whole. The lists of common terms, those of a fifth of the examples or
+more, are cut into blocks of 16 examples, each with its maximum. A query adds up its short lists, completes the
+examples that lead so far, which gives a floor under the k-th best cosine, and visits of the common lists only the
+blocks whose maxima can lift one of their examples to the floor. So the k best cosines are exact.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import hashlib
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +36,9 @@ MIN_DF = 2
 LEAST_TIE = 0.02
 NEIGHBOURS = 64
 SHARPNESS = 1.05
-MEMO = 100_000
+BLOCK, COMMON = 16, 0.2
+SLACK = 1e-11  # of sums in another order
+MEMO = 200_000
 TERM_ROWS = 50_000  # rows of one batch to Spark
 
 
@@ -46,39 +54,63 @@ def terms(text: str | None) -> Counter:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term; `nearest` is exact top-k by cosine. `block` has no effect."""
-
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: int = 0):
-        rows, cols = np.nonzero(vectors)
-        self._fill(rows, cols, vectors[rows, cols], ids, vectors.shape[1])
-
-    @classmethod
-    def of_cells(cls, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, ids: np.ndarray, terms: int) -> "BlockMaxIndex":
-        """From the cells of a sparse matrix of unit vectors."""
-        out = cls.__new__(cls)
-        out._fill(rows, cols, weights, ids, terms)
-        return out
-
-    def _fill(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, ids: np.ndarray, terms: int) -> None:
-        self.ids, self.order = ids, np.arange(len(ids))
-        by = np.argsort(cols, kind="stable")
+    """Postings of unit vectors by term, long lists in blocks with their maxima; `nearest` is exact top-k by cosine."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK, common: float = COMMON):
+        """From the cells of a sparse matrix of unit vectors, one row for each of `ids`."""
+        self.ids, self.block = ids, block
+        df = np.bincount(cols, minlength=terms)
+        self.place = np.full(terms, -1)  # of a common term: its column
+        long = np.flatnonzero(df >= max(2, common * len(ids)))
+        self.place[long] = np.arange(len(long))
+        blocks = -(-len(ids) // block)
+        dense = np.zeros((blocks * block, len(long)))
+        in_long = self.place[cols] >= 0
+        dense[rows[in_long], self.place[cols[in_long]]] = weights[in_long]
+        self.dense = dense.reshape(blocks, block, len(long))
+        self.maxima = self.dense.max(1)
+        rows, cols, weights = rows[~in_long], cols[~in_long], weights[~in_long]
+        by = np.lexsort((rows, cols))
         self.docs, self.weights = rows[by].astype("i4"), weights[by]
         self.starts = np.searchsorted(cols[by], np.arange(terms + 1)).tolist()
+        self.room = np.zeros(0, np.intp), np.zeros(0)  # kept from query to query: fresh pages cost more than the sums
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines (over 0) of the k nearest; ties to the smaller example id. `without`: a position left out."""
-        if not len(at):
-            return np.zeros(0, int), np.zeros(0)
-        spans = [(self.starts[t], self.starts[t + 1]) for t in at.tolist()]
-        docs = np.concatenate([self.docs[a:b] for a, b in spans])
-        parts = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(w, [b - a for a, b in spans])
-        acc = np.bincount(docs, parts, minlength=len(self.ids))
+        n, place = len(self.ids), self.place[at]
+        short, starts = place < 0, self.starts
+        spans = [(starts[t], starts[t + 1]) for t in at[short].tolist()]
+        acc = np.zeros(self.dense.shape[0] * self.block)
+        if spans:
+            sizes = [b - a for a, b in spans]
+            total = sum(sizes)
+            if total > len(self.room[0]):
+                self.room = np.zeros(2 * total, np.intp), np.zeros(2 * total)
+            docs, parts = self.room[0][:total], self.room[1][:total]
+            np.concatenate([self.docs[a:b] for a, b in spans], out=docs)
+            np.concatenate([self.weights[a:b] for a, b in spans], out=parts)
+            parts *= np.repeat(w[short], sizes)
+            acc = np.bincount(docs, parts, minlength=len(acc))
+        acc[n:] = -np.inf
         if without >= 0:
-            acc[without] = 0.0
+            acc[without] = -np.inf
+        if not short.all():
+            rest = np.zeros(self.dense.shape[2])
+            rest[place[~short]] = w[~short]
+            floor = 0.0
+            if n > k:  # the leaders so far, completed, hold the k-th best cosine from below
+                lead = np.argpartition(-acc, min(2 * k, len(acc) - 1))[: 2 * k]
+                done = acc[lead] + self.dense.reshape(-1, len(rest))[lead] @ rest
+                floor = max(0.0, float(np.partition(done, max(0, len(done) - k))[max(0, len(done) - k)])) - SLACK
+            by_block = acc.reshape(-1, self.block)
+            live = np.flatnonzero(by_block.max(1) + self.maxima @ rest >= floor)
+            full = np.full(by_block.shape, -np.inf)
+            full[live] = by_block[live] + self.dense[live] @ rest
+            acc = full.ravel()
         found = np.flatnonzero(acc > 0)
         if len(found) > k:
-            floor = np.partition(acc[found], len(found) - k)[len(found) - k]
-            found = found[acc[found] >= floor - 1e-11]
+            least = np.partition(acc[found], len(found) - k)[len(found) - k]
+            found = found[acc[found] >= least - SLACK]
         best = found[np.lexsort((self.ids[found], -np.round(acc[found], 12)))[:k]]
         return best, acc[best]
 
@@ -93,6 +125,7 @@ class ToxicityModel:
     weights: np.ndarray
     beta: list[float]
     silent: float  # score of a text without a term of the vocabulary
+    fitted: bool = False  # were there labelled texts of both classes?
     neighbours: int = NEIGHBOURS
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -104,34 +137,47 @@ class _Lookup:
         self.at = {t: i for i, t in enumerate(vocabulary)}
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        counts: dict[int, int] = {}
-        words, at = self.words, self.at
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            hits = words.get(w)
-            if hits is None:
-                if len(words) > MEMO:
-                    words.clear()
-                hits = words[w] = tuple(at[t] for t in (w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)) if t in at)
-            for t in hits:
-                counts[t] = counts.get(t, 0) + n
-        return counts
+    def hits(self, words: Iterable[str]) -> Iterator[tuple[int, ...]]:
+        known, at = self.words, self.at
+        for w in words:
+            found = known.get(w)
+            if found is None:
+                if len(known) > MEMO:
+                    known.clear()
+                found = known[w] = tuple([at[t] for t in (w, *[w[:k] + "*" for k in PREFIXES if len(w) >= k]) if t in at])
+            yield found
+
+    def positions(self, text: str | None) -> list[int]:
+        """Of each term of a text once."""
+        return list(set().union(*self.hits(set(WORD.findall((text or "").lower())))))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rising positions of the terms of a text, and how often it has them."""
+        words = Counter(WORD.findall((text or "").lower()))
+        at: list[int] = []
+        times: list[int] = []
+        for found, n in zip(self.hits(words), words.values()):
+            at += found
+            times += [n] * len(found)
+        if not at:
+            return np.zeros(0, int), np.zeros(0)
+        pos, where = np.unique(np.array(at), return_inverse=True)
+        return pos, np.bincount(where, times)
 
 
 class _Voter:
     def __init__(self, m: ToxicityModel):
         self.m = m
         self.lookup = _Lookup(m.vocabulary)
-        self.index = BlockMaxIndex.of_cells(*m.cells, m.ids, len(m.vocabulary))
-        self.y, self.w = m.labels[self.index.order], m.weights[self.index.order]
+        self.index = BlockMaxIndex(*m.cells, m.ids, len(m.vocabulary))
+        self.y, self.w = m.labels, m.weights
         self.prior = float((m.weights * m.labels).sum() / max(1e-9, m.weights.sum())) if len(m.labels) else 0.0
         self.seen: dict[bytes, tuple] = {}
 
     def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary positions and unit TF-IDF weights of a whole text."""
-        counts = self.lookup.counts(text)
-        pos = np.array(sorted(counts), dtype=int)
-        return pos, unit(pos, np.array([counts[p] for p in pos.tolist()], float), self.m.idf)
+        pos, counts = self.lookup.counts(text)
+        return pos, unit(pos, counts, self.m.idf)
 
     def vote(self, pos: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, list, list]:
         found, cos = self.index.nearest(pos, w, self.m.neighbours, without)
@@ -169,14 +215,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     """Index at most `sample_per_class` labelled documents of each class, chosen by hash, whole texts.
 
     Null ids and labels other than 0 and 1 are left out; of rows that repeat an id the smallest text and label
-    count. Example weights undo the unequal sampling of the classes. With a class missing, every text gets the
-    smoothed share of label 1.
+    count. Example weights undo the unequal sampling of the classes. With a class missing, the model is not `fitted`
+    and every text gets the share of label 1, smoothed so that it is 1/3 without any label.
     """
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    base = (n1 + 1) / (n0 + n1 + 2)
-    empty = ToxicityModel([], np.zeros(0), (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), np.zeros(0, "int64"), np.zeros(0), np.zeros(0), [0.0, 1.0], base, neighbours)
+    base = (n1 + 1) / (n0 + n1 + 3)
+    empty = ToxicityModel([], np.zeros(0), (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), np.zeros(0, "int64"), np.zeros(0), np.zeros(0), [0.0, 1.0], base, False, neighbours)
     if not n0 or not n1:
         return empty
     picked = bounded_sample(known.where("y = 0"), "doc_id", sample_per_class, n0).unionByName(bounded_sample(known.where("y = 1"), "doc_id", sample_per_class, n1))
@@ -221,6 +267,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
         release(sample)
         return empty
     a, df = found["a"].to_numpy().astype(float), found["df"].to_numpy().astype(float)
+    joint = _joint(vocab, df)
+    vocab, a, df = [t for t, j in zip(vocab, joint) if j], a[joint], df[joint]
     n = float(p + q)
     cross = a * (q - (df - a)) - (df - a) * (p - a)
     tie = np.abs(cross) / np.sqrt(np.maximum(df * p * q * (n - df), 1e-9))  # root of chi-square / n
@@ -248,7 +296,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     weights = np.where(y == 1, r1, r0) / mean
     quiet1, quiet0 = (p - y.sum()) * r1, (q - (len(y) - y.sum())) * r0
     silent = float((quiet1 + base) / (quiet1 + quiet0 + 1))
-    model = ToxicityModel(vocab, idf, (rows.astype("i4"), cols.astype("i4"), w.astype("f4")), ids, y, weights, [0.0, 1.0], silent, neighbours)
+    model = ToxicityModel(vocab, idf, (rows.astype("i4"), cols.astype("i4"), w.astype("f4")), ids, y, weights, [0.0, 1.0], silent, True, neighbours)
     voter = _Voter(model)
     ends = [*first.tolist(), len(doc)]
     raw = np.array([voter.vote(cols[lo:hi], w[lo:hi], i)[0] for i, (lo, hi) in enumerate(zip(ends, ends[1:]))])
@@ -257,6 +305,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     return model
 
 
+def _joint(vocab: list[str], df: np.ndarray) -> np.ndarray:
+    """Terms but beginnings that are in the same examples as one longer beginning or word, which says as much."""
+    at = {t: i for i, t in enumerate(vocab)}
+    most = np.zeros(len(vocab))
+    for t, n in zip(vocab, df.tolist()):
+        stem = t[:-1] if t[-1] == "*" else t
+        for k in PREFIXES:
+            i = at.get(stem[:k] + "*") if len(stem) > k or (len(stem) == k and t[-1] != "*") else None
+            if i is not None:
+                most[i] = max(most[i], n)
+    return df > most
+
+
 def _idf(docs: DataFrame, text_col: str, vocab: list[str]) -> np.ndarray:
     """Inverse document frequencies of the terms over all documents."""
     box = docs.sparkSession.sparkContext.broadcast(vocab)
@@ -266,7 +327,7 @@ def _idf(docs: DataFrame, text_col: str, vocab: list[str]) -> np.ndarray:
         df = np.zeros(len(box.value) + 1, "int64")  # the last: documents
         for batch in batches:
             for t in batch["t"]:
-                df[list(lookup.counts(t))] += 1
+                df[lookup.positions(t)] += 1
             df[-1] += len(batch)
         t = np.flatnonzero(df)
         for lo in range(0, len(t), TERM_ROWS):

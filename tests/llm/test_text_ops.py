@@ -44,6 +44,7 @@ def test_classifier_edge_cases(fit, score, column, spark):
         assert len(rows) == 5 and all(0 <= r[f"{column}_score"] <= 1 for r in rows)
         assert len({r[f"{column}_score"] for r in rows if r["doc_id"] in (1, 2)}) == 1
     assert score(docs.limit(0), model).count() == 0
+    assert {r[f"{column}_label"] for r in rows} == {int(column == "quality")}  # without labels nothing is rejected
 
 
 def test_every_labelled_text_is_an_example(spark):
@@ -64,13 +65,43 @@ def test_nearest_is_exact():
     x[0, 0] = 1.0
     x = x[x.any(1)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = toxicity.BlockMaxIndex(x, np.arange(len(x)), block=16)
-    for q in x[:60]:
-        at = np.flatnonzero(q)
-        got, cos = index.nearest(at, q[at], 7)
-        all_cos = np.round(x @ q, 12)
-        want = np.lexsort((np.arange(len(x)), -all_cos))[:7]
-        assert index.ids[got].tolist() == want.tolist() and np.allclose(cos, all_cos[want])
+    x = np.repeat(x, 2, axis=0)  # ties
+    rows, cols = np.nonzero(x)
+    for common in (0.0, 0.2, 2.0):  # all lists in blocks, some, none
+        index = toxicity.BlockMaxIndex(rows, cols, x[rows, cols], np.arange(len(x)), 30, block=16, common=common)
+        for i, q in enumerate(x[:120:2]):
+            at = np.flatnonzero(q)
+            for without in (-1, 2 * i):
+                got, cos = index.nearest(at, q[at], 7, without)
+                all_cos = np.round(x @ q, 12)
+                all_cos[[without] if without >= 0 else []] = -1
+                want = np.lexsort((np.arange(len(x)), -all_cos))[:7]
+                assert index.ids[got].tolist() == want.tolist() and np.allclose(cos, all_cos[want])
+
+
+def test_toxicity_against_plain_neighbours(spark):
+    """All scores of the fitted model from dense vectors over all labelled texts, without an index."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join([*rng.choice([f"wort{i}" for i in range(60)], int(rng.integers(3, 30))), *(["vile"] * int(i % 3 == 0))]) for i in range(150)] + ["", None, "unseen only", "vile " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int"))
+    x = np.zeros((len(model.ids), len(model.vocabulary)))
+    x[model.cells[0], model.cells[1]] = model.cells[2]
+    prior = (model.weights * model.labels).sum() / model.weights.sum()
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for i, t in enumerate(texts):
+        n = toxicity.terms(t)
+        v = np.array([(1 + np.log(n[w])) * f if n[w] else 0.0 for w, f in zip(model.vocabulary, model.idf)])
+        if not v.any():
+            assert got[i]["toxicity_score"] == model.silent and got[i]["toxicity_evidence"] == []
+            continue
+        cos = x @ (v / np.linalg.norm(v))
+        near = [k for k in np.lexsort((model.ids, -np.round(cos, 12))) if cos[k] > 0][: model.neighbours]
+        pull = model.weights[near] / (toxicity.SHARPNESS - np.minimum(cos[near], 1))
+        raw = ((pull * model.labels[near]).sum() + prior) / (pull.sum() + 1)
+        assert abs(got[i]["toxicity_score"] - toxicity.calibrate(np.array([raw]), model.beta)[0]) < 1e-9
+        assert [e["doc_id"] for e in got[i]["toxicity_evidence"]] == model.ids[near[:5]].tolist()
+    assert got[153]["toxicity_label"] == 1
 
 
 # near-duplicates
