@@ -32,7 +32,7 @@ HASHES = 128
 BATCH = 32
 MISS = 1e-7
 BAND_MISS = 1e-6
-BLOCK = 1024
+BLOCK = 512
 BITS, BIT_BATCH = 4096, 1024
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240607)
