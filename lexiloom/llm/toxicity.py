@@ -1,16 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are whole words and word beginnings of 5 to 7 letters, the latter marked by a star and only where they join
-several words. All terms of at least two examples are indexed, whichever label they lean to; document frequencies are
-those of all documents. A term's weight
-is its TF-IDF times how closely chi-square ties it to the label (supervised term weighting), LEAST_TIE at least, so
-that every term counts. The neighbours vote with weight 1 / (1.05 - cosine); a logistic calibration fitted on
-leave-one-out votes makes the vote a probability.
+Words are lower-cased and cut to their first seven letters, a plain stemmer that joins the forms of a word in any
+language. All terms of at least two examples are indexed, whichever label they lean to; document frequencies are those
+of all documents. A term's weight is its TF-IDF times how closely chi-square ties it to the label (supervised term
+weighting), LEAST_TIE at least, so that every term counts. The neighbours vote with weight 1 / (1.05 - cosine); a
+logistic calibration fitted on leave-one-out votes makes the vote a probability.
 
 The index: short posting lists are added up whole. The lists of common terms, those of a fifth of the examples or
-more, are cut into blocks of 16 examples, each with its maximum. A query adds up its short lists, completes the
-examples that lead so far, which gives a floor under the k-th best cosine, and visits of the common lists only the
-blocks whose maxima can lift one of their examples to the floor. So the k best cosines are exact.
+more, are cut into blocks of 16 examples, each with its maximum. A query adds up its short lists, whose k-th best sum
+is a floor under the k-th best cosine, and visits of the common lists only the blocks whose maxima can lift one of
+their examples to the floor. So the k best cosines are exact. Weights are kept in single precision and summed in double.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import hashlib
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fit_logistic, materialize, only_cache, release, sigmoid
 
 WORD = re.compile(r"\w+")
-PREFIXES = (5, 6, 7)
+STEM = 7
 SAMPLE_PER_CLASS = 3000
 MIN_DF = 2
 LEAST_TIE = 0.02
@@ -38,19 +37,12 @@ NEIGHBOURS = 64
 SHARPNESS = 1.05
 BLOCK, COMMON = 16, 0.2
 SLACK = 1e-11  # of sums in another order
-MEMO = 200_000
 TERM_ROWS = 50_000  # rows of one batch to Spark
 
 
 def terms(text: str | None) -> Counter:
-    """Counts of lower-cased words and of their starred beginnings."""
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
-        out[w] += n
-        for k in PREFIXES:
-            if len(w) >= k:
-                out[w[:k] + "*"] += n
-    return out
+    """Counts of the terms of a whole text."""
+    return Counter([w[:STEM] for w in WORD.findall((text or "").lower())])
 
 
 class BlockMaxIndex:
@@ -66,47 +58,48 @@ class BlockMaxIndex:
         blocks = -(-len(ids) // block)
         dense = np.zeros((blocks * block, len(long)))
         in_long = self.place[cols] >= 0
-        dense[rows[in_long], self.place[cols[in_long]]] = weights[in_long]
+        dense[rows[in_long], self.place[cols[in_long]]] = weights[in_long].astype("f4")
         self.dense = dense.reshape(blocks, block, len(long))
         self.maxima = self.dense.max(1)
         rows, cols, weights = rows[~in_long], cols[~in_long], weights[~in_long]
         by = np.lexsort((rows, cols))
-        self.docs, self.weights = rows[by].astype("i4"), weights[by]
-        self.starts = np.searchsorted(cols[by], np.arange(terms + 1)).tolist()
-        self.room = np.zeros(0, np.intp), np.zeros(0)  # kept from query to query: fresh pages cost more than the sums
+        # example and weight side by side, so that one copy a list fetches both
+        postings = np.zeros((len(by), 2), "i4")
+        postings[:, 0] = rows[by]
+        postings[:, 1] = weights[by].astype("f4").view("i4")
+        self.sizes = np.bincount(cols, minlength=terms)
+        self.lists = np.split(postings, np.cumsum(self.sizes)[:-1])
+        self.room = np.zeros((0, 2), "i4")  # kept from query to query: fresh pages cost more than the sums
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines (over 0) of the k nearest; ties to the smaller example id. `without`: a position left out."""
         n, place = len(self.ids), self.place[at]
-        short, starts = place < 0, self.starts
-        spans = [(starts[t], starts[t + 1]) for t in at[short].tolist()]
+        short = place < 0
         acc = np.zeros(self.dense.shape[0] * self.block)
-        if spans:
-            sizes = [b - a for a, b in spans]
-            total = sum(sizes)
-            if total > len(self.room[0]):
-                self.room = np.zeros(2 * total, np.intp), np.zeros(2 * total)
-            docs, parts = self.room[0][:total], self.room[1][:total]
-            np.concatenate([self.docs[a:b] for a, b in spans], out=docs)
-            np.concatenate([self.weights[a:b] for a, b in spans], out=parts)
-            parts *= np.repeat(w[short], sizes)
-            acc = np.bincount(docs, parts, minlength=len(acc))
+        few, sizes = at[short], self.sizes[at[short]]
+        total = int(sizes.sum())
+        if total:
+            if total > len(self.room):
+                self.room = np.zeros((2 * total, 2), "i4")
+            got = self.room[:total]
+            np.concatenate([self.lists[t] for t in few.tolist()], out=got)
+            acc = np.bincount(got[:, 0], got[:, 1].view("f4") * np.repeat(w[short], sizes), minlength=len(acc))
         acc[n:] = -np.inf
         if without >= 0:
             acc[without] = -np.inf
         if not short.all():
             rest = np.zeros(self.dense.shape[2])
             rest[place[~short]] = w[~short]
-            floor = 0.0
-            if n > k:  # the leaders so far, completed, hold the k-th best cosine from below
-                lead = np.argpartition(-acc, min(2 * k, len(acc) - 1))[: 2 * k]
-                done = acc[lead] + self.dense.reshape(-1, len(rest))[lead] @ rest
-                floor = max(0.0, float(np.partition(done, max(0, len(done) - k))[max(0, len(done) - k)])) - SLACK
+            # weights are positive, so the k-th best sum so far is under the k-th best cosine
+            floor = float(np.partition(acc, len(acc) - k)[len(acc) - k]) - SLACK if n > k else 0.0
             by_block = acc.reshape(-1, self.block)
-            live = np.flatnonzero(by_block.max(1) + self.maxima @ rest >= floor)
-            full = np.full(by_block.shape, -np.inf)
-            full[live] = by_block[live] + self.dense[live] @ rest
-            acc = full.ravel()
+            live = by_block.max(1) + self.maxima @ rest >= floor
+            if 2 * live.sum() > len(live):  # hardly any block can be left out: without a copy of the others
+                acc = (by_block + self.dense @ rest).ravel()
+            else:
+                full = np.full(by_block.shape, -np.inf)
+                full[live] = by_block[live] + self.dense[live] @ rest
+                acc = full.ravel()
         found = np.flatnonzero(acc > 0)
         if len(found) > k:
             least = np.partition(acc[found], len(found) - k)[len(found) - k]
@@ -135,34 +128,18 @@ class _Lookup:
 
     def __init__(self, vocabulary: list[str]):
         self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def hits(self, words: Iterable[str]) -> Iterator[tuple[int, ...]]:
-        known, at = self.words, self.at
-        for w in words:
-            found = known.get(w)
-            if found is None:
-                if len(known) > MEMO:
-                    known.clear()
-                found = known[w] = tuple([at[t] for t in (w, *[w[:k] + "*" for k in PREFIXES if len(w) >= k]) if t in at])
-            yield found
 
     def positions(self, text: str | None) -> list[int]:
         """Of each term of a text once."""
-        return list(set().union(*self.hits(set(WORD.findall((text or "").lower())))))
+        return [i for i in map(self.at.get, {w[:STEM] for w in WORD.findall((text or "").lower())}) if i is not None]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Rising positions of the terms of a text, and how often it has them."""
-        words = Counter(WORD.findall((text or "").lower()))
-        at: list[int] = []
-        times: list[int] = []
-        for found, n in zip(self.hits(words), words.values()):
-            at += found
-            times += [n] * len(found)
-        if not at:
-            return np.zeros(0, int), np.zeros(0)
-        pos, where = np.unique(np.array(at), return_inverse=True)
-        return pos, np.bincount(where, times)
+        get, found = self.at.get, terms(text)
+        at = [get(t, -1) for t in found]
+        pos, n = np.array(at, int), np.fromiter(found.values(), int, len(at))
+        order = np.argsort(pos)[at.count(-1) :]
+        return pos[order], n[order]
 
 
 class _Voter:
@@ -267,8 +244,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
         release(sample)
         return empty
     a, df = found["a"].to_numpy().astype(float), found["df"].to_numpy().astype(float)
-    joint = _joint(vocab, df)
-    vocab, a, df = [t for t, j in zip(vocab, joint) if j], a[joint], df[joint]
     n = float(p + q)
     cross = a * (q - (df - a)) - (df - a) * (p - a)
     tie = np.abs(cross) / np.sqrt(np.maximum(df * p * q * (n - df), 1e-9))  # root of chi-square / n
@@ -305,19 +280,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     return model
 
 
-def _joint(vocab: list[str], df: np.ndarray) -> np.ndarray:
-    """Terms but beginnings that are in the same examples as one longer beginning or word, which says as much."""
-    at = {t: i for i, t in enumerate(vocab)}
-    most = np.zeros(len(vocab))
-    for t, n in zip(vocab, df.tolist()):
-        stem = t[:-1] if t[-1] == "*" else t
-        for k in PREFIXES:
-            i = at.get(stem[:k] + "*") if len(stem) > k or (len(stem) == k and t[-1] != "*") else None
-            if i is not None:
-                most[i] = max(most[i], n)
-    return df > most
-
-
 def _idf(docs: DataFrame, text_col: str, vocab: list[str]) -> np.ndarray:
     """Inverse document frequencies of the terms over all documents."""
     box = docs.sparkSession.sparkContext.broadcast(vocab)

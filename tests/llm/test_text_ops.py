@@ -65,7 +65,7 @@ def test_nearest_is_exact():
     x[0, 0] = 1.0
     x = x[x.any(1)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.repeat(x, 2, axis=0)  # ties
+    x = np.repeat(x, 2, axis=0).astype("f4").astype(float)  # ties; weights are kept in single precision
     rows, cols = np.nonzero(x)
     for common in (0.0, 0.2, 2.0):  # all lists in blocks, some, none
         index = toxicity.BlockMaxIndex(rows, cols, x[rows, cols], np.arange(len(x)), 30, block=16, common=common)
