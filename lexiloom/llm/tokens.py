@@ -4,7 +4,8 @@ Byte-level and word-level pre-tokenizers alike end a token where white space fol
 white space or ASCII punctuation mark other than the apostrophe follows a run of Latin letters. So a text is the
 sequence of its chunks and each distinct chunk is encoded once. A tokenizer that lower-cases gets lower case, one
 that drops white space gets none, which makes fewer chunks. Texts with white space that regular expression engines
-disagree on are encoded whole.
+disagree on, and those with the string of a special token, which the library finds before it cuts a text, are encoded
+whole.
 """
 
 from __future__ import annotations
@@ -40,13 +41,16 @@ LONGEST = 64  # longer chunks are not kept
 class MemoTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids, exactly as the tokenizer does on the whole text."""
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = encode_special_tokens
         self.memo: dict[str, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in config.get("added_tokens", [])]
+        lead = os.path.commonprefix(added)
+        self.lead = lead if not re.search(r"\w", lead) else ""  # what every special token begins with, in either case
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         steps = [config.get("normalizer") or {}, *(config.get("normalizer") or {}).get("normalizers", [])]
         cuts = [config.get("pre_tokenizer") or {}, *(config.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.lower = any(s.get("type") == "Lowercase" for s in steps)
@@ -82,6 +86,15 @@ class MemoTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts. Most texts have single blanks and line feeds only, which Arrow cuts and numbers."""
         texts = [(t or "") if t is None or t.isascii() else _valid(t) for t in texts]
+        if self.special:
+            at = [i for i, t in enumerate(texts) if self.lead in t and self.special.search(t)]
+            if at:
+                taken = set(at)
+                rest, whole = iter(self._cut([t for i, t in enumerate(texts) if i not in taken])), dict(zip(at, self._plain([texts[i] for i in at])))
+                return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        return self._cut(texts)
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         part: list[str] = []
         chars = 0
@@ -171,13 +184,12 @@ def _valid(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-_loaded: dict[tuple[str, bool], MemoTokenizer] = {}
+_loaded: dict[str, MemoTokenizer] = {}
 
 
-def tokenizer(path: str, encode_special_tokens: bool = True) -> MemoTokenizer:
+def tokenizer(path: str) -> MemoTokenizer:
     """One tokenizer a worker process."""
     only_cache("tokens", _loaded.clear)
-    key = (path, encode_special_tokens)
-    if key not in _loaded:
-        _loaded[key] = MemoTokenizer(path, encode_special_tokens)
-    return _loaded[key]
+    if path not in _loaded:
+        _loaded[path] = MemoTokenizer(path)
+    return _loaded[path]
