@@ -1,17 +1,21 @@
 """Vector best-fit packing of tokenized documents into sequences.
 
-Every bin has three capacities: tokens, documents and attention cost (the sum of squared piece lengths). An
-item's demands follow from its length alone, so items of one length are alike: the driver packs the histogram of
-lengths (at most `capacity` numbers) in falling order, and rows then take the slots of their length by rank. Bins
-in the same state are kept as ranges, which makes the plan as large as the number of states, not of rows.
+Every bin has three capacities: tokens, documents and attention cost (the sum of squared piece lengths). What is left
+of each is the bin's state, in exact integers. A piece goes, of the bins where it meets every constraint, to the one
+whose residual vector is then shortest, or whose residuals have the largest weighted dot product with its demands.
+
+An item's demands follow from its length alone, so items of one length are alike: the driver packs the histogram of
+lengths (at most `capacity` numbers) in falling order, and rows then take the slots of their length by rank. Bins in
+the same state are kept as ranges. A length ends in at most two new states more than it uses up, so the plan grows
+with the number of lengths and not with the rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import tokenizer
 
-COST_STEPS = 256  # a binding attention budget is kept in so many steps, rounded against the bin
 ROWS_PER_SALT = 20_000
 BROADCAST_SLOTS = 1_000_000
 
@@ -36,57 +39,82 @@ class Slots:
     offset: int
 
 
+class _Bins:
+    """Open bins by state: residual tokens, documents and cost, and the ranges of bin numbers in that state."""
+
+    def __init__(self):
+        self.at: dict[tuple[int, int, int], int] = {}
+        self.left = np.zeros((64, 3), np.int64)
+        self.ranges: list[list[tuple[int, int]]] = []
+        self.free: list[int] = []
+
+    def add(self, state: tuple[int, int, int], lo: int, hi: int) -> None:
+        if state[0] < 1 or state[1] < 1 or state[2] < 1:
+            return  # full
+        k = self.at.get(state)
+        if k is None:
+            k = self.free.pop() if self.free else len(self.ranges)
+            if k == len(self.ranges):
+                self.ranges.append([])
+                if k == len(self.left):
+                    self.left = np.concatenate([self.left, np.zeros_like(self.left)])
+            self.at[state], self.left[k] = k, state
+        self.ranges[k].append((lo, hi))
+
+    def drop(self, k: int) -> None:
+        del self.at[tuple(self.left[k].tolist())]
+        self.left[k] = 0
+        self.free.append(k)
+
+
 def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, select: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> tuple[list[Slots], int]:
-    """Best fit in falling order of length. select="norm": the bin whose residual vector is then shortest;
-    "dot": the bin whose residuals have the largest weighted dot product with the item's demands.
-    Returns the slots and the number of bins. A capacity that cannot bind is left out of the state.
+    """Best fit in falling order of length. select="norm": the bin whose residual vector, each part over its capacity
+    and times its weight, is then shortest; "dot": the bin whose residuals have the largest weighted dot product with
+    the item's demands. Ties go to the smaller state. Returns the slots and the number of bins.
     """
-    step = 1 if max_cost >= capacity * capacity else max(1, math.ceil(max_cost / COST_STEPS))
-    count_docs, count_cost = max_docs < capacity, max_cost < capacity * capacity
-    full = (capacity, max_docs if count_docs else 0, max_cost // step if count_cost else 0)
-    states: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-    out, bins = [], 0
+    full = np.array([capacity, max_docs, max_cost], np.int64)
+    weight = np.array(weights, float)
+    bins, out, opened = _Bins(), [], 0
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        need = (length, 1 if count_docs else 0, -(-length * length // step) if count_cost else 0)
-        if any(n > f for n, f in zip(need, full)) or max_docs < 1:
+        need = np.array([length, 1, length * length], np.int64)
+        if (need > full).any():
             raise ValueError(f"a piece of {length} tokens fits no empty sequence")
-
-        def held(state: tuple[int, int, int]) -> int:
-            return min(s // n for s, n in zip(state, need) if n)
-
-        def after(state: tuple[int, int, int]) -> float:
-            if select == "dot":
-                return -sum(w * n / f * s / f for w, n, s, f in zip(weights, need, state, full) if f)
-            return sum(w * ((s - n) / f) ** 2 for w, n, s, f in zip(weights, need, state, full) if f)
-
-        fits = sorted((s for s in states if all(a >= b for a, b in zip(s, need))), key=lambda s: (after(s), s))
-        for state in fits:
-            per = held(state)
-            while left and states[state]:
-                lo, hi = states[state].pop()
+        held = bins.left[: len(bins.ranges)]
+        fits = np.flatnonzero((held >= need).all(1))
+        states = held[fits]
+        if select == "dot":
+            score = -((states / full) @ (weight * need / full))
+        else:
+            score = (((states - need) / full) ** 2) @ weight
+        for k in fits[np.lexsort((states[:, 2], states[:, 1], states[:, 0], score))].tolist():
+            if not left:
+                break
+            state = bins.left[k].copy()
+            per = int((state // need).min())
+            ranges = bins.ranges[k]
+            while left and ranges:
+                lo, hi = ranges.pop()
                 whole = min(hi - lo, left // per)
                 for n, each in ((whole, per), (1, left - whole * per)):
                     each = min(each, per)
                     if not n or not each or lo >= hi:
                         continue
-                    out.append(Slots(length, rank, n * each, lo, each, capacity - state[0]))
-                    states[tuple(s - each * d for s, d in zip(state, need))].append((lo, lo + n))
+                    out.append(Slots(length, rank, n * each, lo, each, capacity - int(state[0])))
+                    bins.add(tuple((state - each * need).tolist()), lo, lo + n)
                     rank, left, lo = rank + n * each, left - n * each, lo + n
                 if lo < hi:
-                    states[state].append((lo, hi))
-            if not states[state]:
-                del states[state]
-            if not left:
-                break
+                    ranges.append((lo, hi))
+            if not ranges:
+                bins.drop(k)
         if left:
-            per = held(full)
+            per = int((full // need).min())
             for n, each in ((left // per, per), (1, left % per)):
                 if n and each:
-                    out.append(Slots(length, rank, n * each, bins, each, 0))
-                    states[tuple(s - each * d for s, d in zip(full, need))].append((bins, bins + n))
-                    rank, bins = rank + n * each, bins + n
-    return out, bins
+                    out.append(Slots(length, rank, n * each, opened, each, 0))
+                    bins.add(tuple((full - each * need).tolist()), opened, opened + n)
+                    rank, opened = rank + n * each, opened + n
+    return out, opened
 
 
 def tokenize_pieces(docs: DataFrame, *, tokenizer_path: str, end_id: int, capacity: int, text_col: str = "text") -> DataFrame:
@@ -109,9 +137,11 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer_path: str, end_id: int, capaci
 def pack(pieces: DataFrame, *, capacity: int, max_docs: int | None = None, max_cost: int | None = None, select: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """All columns of `pieces` (one is `length`, 1 to `capacity`) with sequence_id and offset.
 
-    `max_docs` pieces and `max_cost` of squared lengths are the further capacities of a sequence; None: as good
-    as none. Rows of null length are left out of every sequence: both columns are null. Columns named
-    sequence_id or offset are replaced; an empty table gives an empty one.
+    `max_docs` pieces and `max_cost` of squared lengths are the further capacities of a sequence; None: those of a
+    sequence of single tokens and of one piece (`capacity` and its square), which never bind but take part in the choice
+    of bins. A piece longer than `capacity`, or whose squared length is over `max_cost`, fits no sequence and is an
+    error. Rows of null length are left out of every sequence: both columns are null. Rows of equal length, copies
+    too, take slots of their own. Columns named sequence_id or offset are replaced; an empty table gives an empty one.
     """
     max_docs, max_cost = max_docs or capacity, max_cost or capacity * capacity
     own = ("sequence_id", "offset", "_row", "_salt", "_rank")

@@ -233,14 +233,13 @@ def test_secret_scan_has_no_python(spark):
 
 # tokens, packing, files
 
-ODD = ["", None, "a", " a", "a ", "  two  blanks", "line\n\nbreaks\n next", "tab\tand\r\nmore", "don't we'll I'M", "Ünïcödé ŒUVRE İstanbul ΑΣ", "x\xa0y z", "½5² <|endoftext|> <|startoftext|>", "word,word;%%% &&&", "\x02\x01", "日本語 😀", "é ä", "word " * 5000, "q" * 5000]
+ODD = ["", None, "a", " a", "a ", "  two  blanks", "line\n\nbreaks\n next", "tab\tand\r\nmore", "don't we'll I'M", "Ünïcödé ŒUVRE İstanbul ΑΣ", "x\xa0y z", "½5² <|endoftext|> <|startoftext|>", "a <|endoftext|> b", "x<|EndOfText|>y <|startoftext|>", "<|endof text|> <| <|endoftext", "word,word;%%% &&&", "\x02\x01", "日本語 😀", "é ä", "word " * 5000, "q" * 5000]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_tokenizer_equals_the_tokenizer(name):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     memo = MemoTokenizer(path)
     for _ in range(2):
         got = [list(array.array("I", b)) for b in memo.encode(ODD)]
@@ -268,6 +267,34 @@ def test_packing_plan_keeps_every_constraint():
             assert sum(i for _, i in ranks) == n and all(a + b == c for (a, b), (c, _) in zip(ranks, ranks[1:]))
     with pytest.raises(ValueError):
         packing.plan({101: 1}, 100, 9, 10**6)
+    with pytest.raises(ValueError):
+        packing.plan({101: 1}, 200, 9, 10200)
+    assert packing.plan({101: 1}, 200, 200, 10201)[1] == 1  # exactly its budget
+    assert packing.plan({10: 5}, 100, 2, 10**4)[1] == 3 and packing.plan({}, 100, 2, 10) == ([], 0)
+    # of two bins that hold the piece the fuller one, by every capacity
+    slots, bins = packing.plan({60: 1, 50: 1, 40: 1}, 100, 100, 10**4)
+    assert bins == 2 and [(s.length, s.bin, s.offset) for s in slots] == [(60, 0, 0), (50, 1, 0), (40, 0, 60)]
+
+
+def test_packing_against_item_by_item_best_fit():
+    """The plan over the histogram opens no more bins than plain best fit, one piece after the other."""
+    rng = np.random.default_rng(4)
+    for docs, cost, select in ((100, 100 * 100, "norm"), (5, 100 * 100, "norm"), (100, 5000, "dot"), (6, 6000, "norm")):
+        counts = {int(n): int(rng.integers(1, 40)) for n in rng.integers(1, 70, 40)}
+        full, bins = np.array([100, docs, cost]), []
+        for n in sorted(counts, reverse=True):
+            need = np.array([n, 1, n * n])
+            for _ in range(counts[n]):
+                fits = [k for k, b in enumerate(bins) if (b >= need).all()]
+                if select == "dot":
+                    score = [-float((bins[k] / full * need / full).sum()) for k in fits]
+                else:
+                    score = [float((((bins[k] - need) / full) ** 2).sum()) for k in fits]
+                if not fits:
+                    bins.append(full.copy())
+                    fits, score = [len(bins) - 1], [0.0]
+                bins[fits[int(np.argmin(score))]] -= need
+        assert packing.plan(counts, 100, docs, cost, select)[1] <= 1.02 * len(bins) + 1
 
 
 def test_packing_documents(spark):
@@ -287,7 +314,16 @@ def test_packing_documents(spark):
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert all(sum(n for _, n in b) <= 16 for b in bins.values())
     assert len(bins) == -(-sum(r["length"] for r in rows) // 16)
+    for s, b in bins.items():  # gapless from 0
+        ends = [0, *np.cumsum([n for _, n in sorted(b)]).tolist()]
+        assert [o for o, _ in sorted(b)] == ends[:-1], s
     assert packing.pack(pieces.limit(0), capacity=16).count() == 0
+    odd = packing.pack(pieces.select("doc_id", F.when(F.col("doc_id") == 2, None).otherwise(F.col("length")).alias("length")), capacity=16, max_docs=2, max_cost=256).collect()
+    assert all((r["sequence_id"] is None) == (r["length"] is None) for r in odd) and len(odd) == len(rows)
+    per = {}
+    for r in odd:
+        per.setdefault(r["sequence_id"], []).append(r["length"])
+    assert all(len(b) <= 2 and sum(n * n for n in b) <= 256 for s, b in per.items() if s is not None)
 
 
 def test_segments_round_trip():
@@ -309,7 +345,6 @@ def test_token_file(spark, tmp_path):
     df = spark.createDataFrame(rows, DOCS).repartition(5)
     binary.write_tokens(df, (tmp_path / "f").as_uri(), tokenizer_path=path, end_id=2)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
