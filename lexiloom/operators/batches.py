@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..work import materialize
 
 STRATEGIES = ("random", "domain", "cluster", "cluster_within_domain")
-SALTS = 64
+BROADCAST_DRAWS = 1_000_000  # of two numbers
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
-    """Positions 0, 1, 2, ... in a total order, without one task that sorts all rows: ranges are numbered apart, after the ranges before."""
+    """Positions 0, 1, 2, ... in a total order, without one task that sorts all rows: ranges are numbered apart, after the ranges before.
+
+    Range borders are sampled anew whenever the exchange is planned, so the rows are written once with the range they
+    fell in, and sizes and rows both come from what was written.
+    """
     staged = df.withColumn("_sort", F.struct(*order)).repartitionByRange("_sort").withColumn("_part", F.spark_partition_id())
+    staged = materialize(staged, "ranges")
     local = F.row_number().over(Window.partitionBy("_part").orderBy("_sort")) - 1
-    staged = staged.withColumn("_local", local)
     sizes = staged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    starts = sizes.select("_part", before.alias("_before"))
-    return staged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_part", "_local", "_before", "_sort")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))  # one row a range, as many as shuffle partitions
+    out = staged.withColumn("_local", local).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_part", "_local", "_before", "_sort")
 
 
 def sample_random(df: DataFrame, idx: str, seed: int, epoch: int, batch: int, world: int) -> DataFrame:
@@ -62,11 +68,11 @@ def context_sample(batches: DataFrame, size: int, seed: str) -> DataFrame:
 
 
 def minicorpus(docs: DataFrame, idx: str, size: int, seed: str) -> DataFrame:
-    """Exactly `size` draws with replacement: (draw, idx)."""
+    """Exactly `size` draws with replacement: (draw, idx). None from an empty table."""
     n = docs.count()
     rows = numbered(docs.select(idx), [F.col(idx)])
     draws = docs.sparkSession.range(size).select(F.col("id").alias("draw"), F.floor(T.uniform(seed, F.col("id")) * n).cast("long").alias("rn"))
-    return rows.join(F.broadcast(draws), "rn").select("draw", idx)  # `size` is a parameter, a few hundred
+    return rows.join(F.broadcast(draws) if size <= BROADCAST_DRAWS else draws, "rn").select("draw", idx)
 
 
 def batch_scores(pairs: DataFrame, batch: str = "batch_id") -> DataFrame:
