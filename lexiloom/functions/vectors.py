@@ -1,7 +1,11 @@
-"""Vector functions over arrays; doubles throughout."""
+"""Vector functions over arrays; doubles throughout. Column functions stay in the JVM, group means go through Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +75,23 @@ def instruction_mask(tokens: Column, mask: Column, end: int) -> Column:
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:
-    """Mean vector of each group: partial sums per (group, component), then one array a group."""
-    parts = rows.select(*keys, F.posexplode(vector).alias("_j", "_x"))
-    means = parts.groupBy(*keys, "_j").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    listed = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_j", "_x"))).alias("_v"))
+    """Mean vector of each group. Every Arrow batch is summed by group before its components are, so that few rows are shuffled and no group meets in one task."""
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b["_v"].notna()]
+            if not len(b):
+                continue
+            x = np.stack(b["_v"].to_numpy()).astype(float)
+            groups = b.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(groups, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0])
+            part = b[keys].iloc[order[first]].reset_index(drop=True)
+            part["_s"], part["_n"] = list(np.add.reduceat(x[order], first)), np.diff(np.r_[first, len(b)])
+            yield part
+
+    parts = rows.select(*keys, F.col(vector).cast("array<double>").alias("_v")).mapInPandas(partial, f"{kinds}, _s array<double>, _n long")
+    sums = parts.select(*keys, "_n", F.posexplode("_s").alias("_j", "_x")).groupBy(*keys, "_j").agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"))
+    listed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_j", (F.col("_x") / F.col("_n")).alias("_x")))).alias("_v"))
     return listed.select(*keys, F.transform("_v", lambda s: s["_x"]).alias(out))

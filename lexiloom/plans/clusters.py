@@ -54,13 +54,37 @@ def cluster_dataset(spark, d):
     return C.paired_kmeans(vec_pairs(spark, d).select("i", "q", "x"), 16, 2).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query("cluster_within_domain")
+def grouped_kmeans_sql(group: str, k: str, iterations: int) -> str:
+    """`kmeans_sql` in every group by itself; `group` and `k`, the clusters of a group of n rows, are expressions."""
+    unit = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+    ctes = [VEC_PAIRS, f"gp as (select *, {group} as g from vp, (select count(*) as total from vp))", f"ks as (select g, {k} as k from (select g, count(*) as n, any_value(total) as total from gp group by 1))"]
+    ctes += ["cat as (select i, g, 0 as side, list_concat(q, x) as v from gp union all select i, g, 1, list_concat(x, q) from gp)", f"r as (select i, g, side, {unit('v')} as v from cat)"]
+    ctes.append("c0 as (select g, cast(rn - 1 as integer) as cluster, v as c from (select g, v, row_number() over (partition by g order by md5(concat_ws('|', 'init', cast(i as varchar))), i) as rn from r where side = 0) join ks using (g) where rn <= k)")
+    for n in range(iterations):
+        ctes += [
+            f"a{n} as (select i, g, side, arg_min(cluster, (-round(list_dot_product(v, c), 12), cluster)) as cluster, any_value(v) as v from r join c{n} using (g) group by 1, 2, 3)",
+            f"p{n} as (select g, cluster, unnest(v) as x, generate_subscripts(v, 1) as j from a{n})",
+            f"m{n} as (select g, cluster, list(x order by j) as v from (select g, cluster, j, avg(x) as x from p{n} group by 1, 2, 3) group by 1, 2)",
+            f"c{n + 1} as (select g, cluster, coalesce({unit('m.v')}, o.c) as c from c{n} o left join m{n} m using (g, cluster))",
+        ]
+    ctes.append(f"fin as (select i, g, arg_min(cluster, (-round(list_dot_product(v, c), 12), cluster)) as cluster from r join c{iterations} using (g) where side = 0 group by 1, 2)")
+    return "with " + ", ".join(ctes)
+
+
+@query("cluster_within_domain", grouped_kmeans_sql("domain", "greatest(1, cast(ceil(n / 10.0) as integer))", 2) + " select i, g as domain, cluster from fin")
 def cluster_within_domain(spark, d):
-    """All domains in the same jobs: (i, domain, cluster)."""
-    return C.paired_kmeans(vec_pairs(spark, d), 4, 2, "domain")
+    """Clusters of about 10 pairs in each domain, by its own size: (i, domain, cluster)."""
+    return C.within_domains(vec_pairs(spark, d), "domain", 10, 2)
+
+
+SHARDS = "cast(ceil(total / 100.0) as bigint)"
+SHARD_K = f"greatest(1, cast(ceil(ceil(cast(total as double) / {SHARDS}) / 16.0) as integer))"
 
 
-@query("cluster_sharded")
+@query(
+    "cluster_sharded",
+    grouped_kmeans_sql(f"cast(cast(('0x' || substr(md5(cast(i as varchar)), 1, 8)) as bigint) % {SHARDS} as integer)", SHARD_K, 2) + ", size as (select any_value(k) as k from ks) select i, g as shard, cast(g * size.k + cluster as integer) as cluster from fin, size",
+)
 def cluster_sharded(spark, d):
     return C.sharded(vec_pairs(spark, d).select("i", "q", "x"), 16, 100, 2)
 
@@ -117,7 +141,15 @@ def tsp_order(spark, d):
     return spark.createDataFrame(list(enumerate(C.greedy_order(m, 0))), "position int, cluster int")
 
 
-@query("tsp_order_by_domain")
+BY_DOMAIN = "parts as (select label as domain, cast(vec_id // 50 as integer) as cluster, unnest(embedding) as x, generate_subscripts(embedding, 1) as j from embeddings), means as (select domain, cluster, j, avg(cast(x as double)) as x from parts group by 1, 2, 3), cents as (select domain, cluster, list(x order by j) as c from means group by 1, 2)"
+
+
+@query(
+    "tsp_order_by_domain",
+    f"with recursive {BY_DOMAIN}, t as (select domain, 0 as position, min(cluster) as cluster, [min(cluster)] as seen from cents group by 1 union all "
+    "select domain, position + 1, nxt, list_append(seen, nxt) from (select t.domain, any_value(t.position) as position, any_value(t.seen) as seen, arg_min(b.cluster, (round(list_sum(list_transform(range(64), lambda j: (b.c[j + 1] - a.c[j + 1]) * (b.c[j + 1] - a.c[j + 1]))), 12), b.cluster)) as nxt "
+    "from t join cents a on a.domain = t.domain and a.cluster = t.cluster join cents b on b.domain = t.domain and not list_contains(t.seen, b.cluster) group by 1)) select domain, position, cluster from t",
+)
 def tsp_order_by_domain(spark, d):
     rows = labelled(spark, d).select(F.col("cluster").alias("domain"), F.floor(F.col("vec_id") / 50).cast("int").alias("cluster"), "embedding")
     return C.greedy_order_by_domain(V.mean_vectors(rows, ["domain", "cluster"], "embedding"), "domain")
@@ -128,7 +160,12 @@ def doc_freq_idf(spark, d):
     return C.document_frequency(tables.read_table(spark, d, "documents"), "doc_id", "text").select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("hard_batch")
+@query(
+    "hard_batch",
+    "with recursive e as (select vec_id as idx, cast(embedding as double[]) as v from embeddings), s as (select 0 as step, cast(null as bigint) as idx, list_transform(range(64), lambda j: cast(0 as double)) as total, cast([] as bigint[]) as seen union all "
+    "select step + 1, p.idx, list_transform(range(64), lambda j: total[j + 1] + p.v[j + 1]), list_append(seen, p.idx) from (select s.step, s.total, s.seen, (select arg_min({'idx': e.idx, 'v': e.v}, (round(list_sum(list_transform(range(64), lambda j: (s.total[j + 1] + e.v[j + 1]) * (s.total[j + 1] + e.v[j + 1]))), 10), e.idx)) from e where not list_contains(s.seen, e.idx)) as p from s where s.step < 16)) "
+    "select idx from s where step > 0",
+)
 def hard_batch(spark, d):
     e = tables.read_table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
     return spark.createDataFrame([(i,) for i in C.hard_batch(e, 16)], "idx long")

@@ -177,10 +177,11 @@ def mlm_mask(spark, d):
     return t.select("doc_id", "pos", drawn.cast("long").alias("input_id"), F.when(u < 0.3, F.col("id")).otherwise(F.lit(-100)).cast("long").alias("label"))
 
 
-@query("collapse_tokens", "select doc_id, regexp_replace('<s><s> ' || substr(text, 1, 40) || '<s><s><s>', '(<s>)+', '<s>', 'g') as text from documents")
+@query("collapse_tokens", "select doc_id, regexp_replace('<s><s> ' || replace(coalesce(text, ''), '. ', '.<s><s> ') || '<s><s><s>', '(<s>)+', '<s>', 'g') as text from documents")
 def collapse_tokens(spark, d):
     t = tables.read_table(spark, d, "documents")
-    return t.select("doc_id", T.collapse_repeats(F.concat(F.lit("<s><s> "), F.substring("text", 1, 40), F.lit("<s><s><s>")), "<s>").alias("text"))
+    marked = F.replace(T.text_or_empty(F.col("text")), F.lit(". "), F.lit(".<s><s> "))  # repeats at both ends and within
+    return t.select("doc_id", T.collapse_repeats(F.concat(F.lit("<s><s> "), marked, F.lit("<s><s><s>")), "<s>").alias("text"))
 
 
 @query("preview", "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from documents")

@@ -208,3 +208,71 @@ def test_factories(spark, tmp_path):
     p = spark.createDataFrame([(0, "a", "bb"), (1, "ccc", None)], "i long, query string, document string")
     assert clustering.embed_for_clustering(p, e).count() == 2
     assert encoder.embed_with_cache(cache.Cache(spark, tmp_path.as_uri()), e, p, "i", "query", model="len", dataset="p").count() == 2
+
+
+def test_positions_of_many_rows_in_many_ranges(spark):
+    """Every position once, though the ranges are sampled and the sides of the join read different columns."""
+    from lexiloom.functions import text as T
+
+    n = 2_000_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(n).withColumnRenamed("id", "i")
+        rows = batches.numbered(df, [T.hash_order("x", F.col("i")), F.col("i")])
+        got = rows.agg(F.count_distinct("rn"), F.min("rn"), F.max("rn"), F.count_distinct("i")).first()
+        assert tuple(got) == (n, 0, n - 1, n)
+        picked = batches.sample_random(df, "i", 1, 0, 16, 4)
+        assert picked.count() == n // 4 // 16 * 64
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_centroids_in_slices_and_restarts(spark, monkeypatch):
+    df = blobs(spark).select("i", V.normalize(F.col("q")).alias("v"))
+    c = clustering.first_rows(df, "i", "v", 5)
+    whole = {r["i"]: r["cluster"] for r in clustering.assign(df, c).collect()}
+    low = {r["i"]: r["cluster"] for r in clustering.assign(df, c, maximize=False).collect()}
+    monkeypatch.setattr(clustering, "CENTROID_BYTES", 130)  # two centroids a slice
+    assert {r["i"]: r["cluster"] for r in clustering.assign(df, c).collect()} == whole
+    assert {r["i"]: r["cluster"] for r in clustering.assign(df, c, maximize=False).collect()} == low
+    monkeypatch.undo()
+    pairs = blobs(spark)
+    rows = clustering.side(pairs, "q", "x")
+
+    def worth(got):
+        means = clustering.collect_centroids(V.mean_vectors(got.join(rows, "i"), ["cluster"], "v"))
+        return clustering.objective(rows, {0: {k: v / np.linalg.norm(v) for k, v in means[0].items()}}, "v")
+
+    assert worth(clustering.paired_kmeans(pairs, 3, 2, restarts=3)) >= worth(clustering.paired_kmeans(pairs, 3, 2)) - 1e-9
+
+
+def test_work_folder(spark, monkeypatch):
+    from lexiloom import work
+
+    kept = work.materialize(spark.range(3), "kept")
+    gone = work.materialize(spark.range(3), "gone")
+    work.release(gone)
+    assert kept.count() == 3 and work.work_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    work.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept._lexiloom_path)
+
+
+def test_entry_names_only_two_modules_as_optional(tmp_path):
+    """A missing library of an operator is an error, not a silent loss of queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "lexiloom", tmp_path / "lexiloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "lexiloom" / "llm").mkdir()
+    (tmp_path / "lexiloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "lexiloom" / "llm" / "queries.py").write_text("import no_such_library\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert done.returncode and "no_such_library" in done.stderr
