@@ -81,13 +81,59 @@ def test_vector_duplicates(spark):
 
 
 def test_list_decoding_finds_every_filter():
-    f = vectordup.Filters(12)
+    f = vectordup.Codes(12, 2)
     x = np.random.default_rng(0).normal(size=(20, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    row, code = f.decode(x, cap=0.6, least=5)
-    y = x @ f.rotation
-    s = [y[:, c] @ w.T for c, w in zip(f.cuts, f.words)]
-    full = (s[0][:, :, None, None] + s[1][:, None, :, None] + s[2][:, None, None, :]).reshape(20, -1)
-    for i in range(20):
-        want = np.flatnonzero(full[i] >= min(0.6, np.sort(full[i])[-5]) - 1e-12)
-        assert sorted(code[row == i].tolist()) == want.tolist()
+    for code in range(2):
+        row, name = f.decode(x, code, cap=0.6)
+        s = [(x @ f.rotations[code])[:, c] @ w.T for c, w in f.codes[code]]
+        full = (s[0][:, :, None, None] + s[1][:, None, :, None] + s[2][:, None, None, :]).reshape(20, -1)
+        for i in range(20):
+            want = np.flatnonzero(full[i] >= 0.6) + code * vectordup.WORDS**3
+            assert sorted(name[row == i].tolist()) == want.tolist()
+
+
+def at_angle(rng, u, cosine):
+    z = rng.normal(size=u.shape)
+    z -= (z * u).sum(1, keepdims=True) * u
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return cosine * u + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("dim", [8, 64, 384, 768])
+def test_recall_at_the_threshold(dim):
+    """Random pairs at cosine 0.98 share a filter of some code."""
+    rng, n = np.random.default_rng(dim), 400
+    count, cap = vectordup.code_count(vectordup.MISS), vectordup.cap_for(dim, 0.98)
+    u = rng.normal(size=(n, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    f, met = vectordup.codes(dim, count), np.zeros(n, bool)
+    for code in range(count):
+        a, b = (set(zip(*(x.tolist() for x in f.decode(v, code, cap)))) for v in (u, at_angle(np.random.default_rng(5), u, 0.98)))
+        met[[r for r, _ in a & b]] = True
+    assert met.mean() >= 0.99
+
+
+def test_links_of_pairs_at_the_threshold(spark):
+    """Pairs a little over 0.98 are all found and none a little under it; ids and labels clash, columns have odd names."""
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(150, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    over, under = at_angle(rng, u, 0.9803), at_angle(rng, u, 0.9797)
+    rows = [(3 * i + k, v.tolist(), i % 3, "x") for i in range(150) for k, v in enumerate((u[i], over[i], under[i]))]
+    rows += [(None, u[0].tolist(), 0, "x"), (7000, u[0].tolist(), 0, "x"), (7000, u[3].tolist(), 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, filter string").repartition(3)
+    got = {}
+    for r in vectordup.vector_duplicates(df).collect():
+        got.setdefault(r["vec_id"], []).append(r)
+    ok = [(k, i, v, y) for k, (i, v, y, _) in enumerate(rows) if i is not None]
+    x, y = np.array([v for _, _, v, _ in ok]), np.array([c for *_, c in ok])
+    near = (x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) >= 0.98) & (y[:, None] == y)
+    want = {}
+    for k, (_, i, _, _) in enumerate(ok):
+        want.setdefault(i, []).append(int(near[k].sum()) - 1)
+    missed = sum(sum(w) - sum(r["n_links"] for r in got[i]) for i, w in want.items())
+    assert all(sum(r["n_links"] for r in got[i]) <= sum(w) for i, w in want.items()) and missed <= 2
+    assert all(got[3 * i + 1][0]["component_id"] == got[3 * i][0]["component_id"] for i in range(150) if want[3 * i + 1] == [r["n_links"] for r in got[3 * i + 1]])
+    assert [r["component_id"] for r in got[7000]] == [0, 0] and got[9][0]["component_id"] == 0  # one id ties its vectors
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got[None]] == [(0, None, True)]
