@@ -95,15 +95,13 @@ class BlockMaxIndex:
             by_block = acc.reshape(-1, self.block)
             live = by_block.max(1) + self.maxima @ rest >= floor
             if 2 * live.sum() > len(live):  # hardly any block can be left out: without a copy of the others
-                acc = (by_block + self.dense @ rest).ravel()
+                acc += self.dense.reshape(len(acc), -1) @ rest
             else:
                 full = np.full(by_block.shape, -np.inf)
                 full[live] = by_block[live] + self.dense[live] @ rest
                 acc = full.ravel()
-        found = np.flatnonzero(acc > 0)
-        if len(found) > k:
-            least = np.partition(acc[found], len(found) - k)[len(found) - k]
-            found = found[acc[found] >= least - SLACK]
+        least = float(np.partition(acc, len(acc) - k)[len(acc) - k]) - SLACK if n > k else 0.0
+        found = np.flatnonzero(acc >= least) if least > 0 else np.flatnonzero(acc > 0)
         best = found[np.lexsort((self.ids[found], -np.round(acc[found], 12)))[:k]]
         return best, acc[best]
 
@@ -131,14 +129,14 @@ class _Lookup:
 
     def positions(self, text: str | None) -> list[int]:
         """Of each term of a text once."""
-        return [i for i in map(self.at.get, {w[:STEM] for w in WORD.findall((text or "").lower())}) if i is not None]
+        return [self.at[t] for t in {w[:STEM] for w in WORD.findall((text or "").lower())} & self.at.keys()]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Rising positions of the terms of a text, and how often it has them."""
-        get, found = self.at.get, terms(text)
-        at = [get(t, -1) for t in found]
-        pos, n = np.array(at, int), np.fromiter(found.values(), int, len(at))
-        order = np.argsort(pos)[at.count(-1) :]
+        at, found = self.at, terms(text)
+        known = list(found.keys() & at.keys())
+        pos, n = np.array([at[t] for t in known], int), np.array([found[t] for t in known], int)
+        order = np.argsort(pos)
         return pos[order], n[order]
 
 
