@@ -1,20 +1,25 @@
 """Main text of web pages with a site style tree.
 
-Every page is read into blocks of text, each with its path in the style tree: the chain of tag and class names
-from the root. The trees of a host's pages are merged by path. A path's importance is
-
-    0.1 x presentation + 0.9 x content,
-
-where presentation is the entropy of how many blocks the path has on a page, and content is one less the mean
-entropy of its texts over the pages that hold them; both entropies are in units of log(pages of the path). A
-template block (the same text, equally often, on every page) has importance 0, a block that each page writes anew
-has 1. A page loses its blocks on paths of low importance.
+Every page is read into blocks of text, each with its path: its article or main element, or else the body, and the
+names and classes of the elements from there down to the block. The trees of a host's pages are merged by path.
+
+1. A path that bears text has an importance of 0.1 x presentation + 0.9 x content: presentation is the entropy of how
+   many blocks the path has on a page, content is one less the mean entropy of its texts over the pages that hold
+   them, both in units of log(pages of the path). A template block (the same text, equally often, on every page) has
+   0, a block that each page writes anew has 1. A path on one page has 1.
+2. The importance of a branch, a path and all below it, is composed of its text-bearing paths: their mean, weighted by
+   their blocks and by 0.9 for every level between.
+3. A branch is removed from every page of the host, with all that it holds, where its importance, raised by the doubt
+   that 1 / pages leaves, is under LEAST_IMPORTANCE times that of the whole article or body. So nothing goes on a host
+   of copies, where all is alike, nor on hosts of a few pages.
 
 Elements whose name, role or class says what they are (menus, page headers, footers, sidebars, notices, adverts,
-forms, comments of readers) are nodes of importance 0 on any host, known in advance, unless they hold the article
-or main element or most of the page's text: these are wrappers. Inside an article, class words that articles use
-too (alert, related, social) only halve a node's importance. A page that marks its article keeps what lies in it,
-and no more than half of an article is ever taken for template.
+forms, comments of readers) are branches of importance 0 on any host, known in advance, unless they hold the article
+or main element or most of the page's text: these are wrappers. A class counts if all its words are such words or
+words of place and form, so `cookie-notice` does and `has-sidebar` or `notice-of-hearing` does not. An article or main
+element is never such a branch. Inside an article, class words that articles use too (alert, related, social) only
+halve the importance, and hide what is mostly links. On pages without a marked article a list of nothing but links is
+a menu.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Names of elements, roles and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,27 +52,34 @@ NOISE_WORDS = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OUTER_NOISE = frozenset("header masthead topbar".split())
+#: Words of place and form that stand beside such words in a class.
+PLACE_WORDS = frozenset(
+    "site main page global primary secondary left right top bottom upper lower inner outer wrapper wrap container holder box block list items item area section bar strip slot unit panel pane group row column col button buttons link links icon icons form post posts article articles entry story stories news recent popular latest message text title header head banner image img google dfp desktop mobile sticky fixed floating".split()
+)
 #: Never text; the other elements of DROPPED and the words are overruled for wrappers.
 NEVER = DROPPED - frozenset("head nav aside footer form dialog menu fieldset".split())
 #: Of NOISE_WORDS those that sections of an article carry as well.
 AMBIGUOUS = frozenset("banner promo promotion notice notification alert popup modal overlay sidebar menu share sharing social related recommended recommendations widget toolbar skip masthead topbar respond subscription".split())
-LOWERED = "~"  # ends the path of a block in such a section
+LOWERED = "~"  # ends the name of such a section in a path
 
 TAG = re.compile(r"""<!--(?:.*?-->|-?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[a-z0-9]+")
+CAMEL = re.compile("([a-z0-9])([A-Z])")
 HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 LEAST_IMPORTANCE = 0.3
-LEAST_PAGES = 4
+DECAY = 0.9
+LEVELS = 40  # levels below are one level
+MENU_LINKS = 0.8
 BROADCAST_PATHS = 200_000
 
 
 class Block:
-    __slots__ = ("path", "text", "link", "root")
+    __slots__ = ("path", "text", "link", "root", "list")
 
-    def __init__(self, path: str, text: str, link: float, root: int):
-        self.path, self.text, self.link, self.root = path, text, link, root
+    def __init__(self, path: str, text: str, link: float, root: int, list_: int):
+        self.path, self.text, self.link, self.root, self.list = path, text, link, root, list_
 
 
 def host(url: str | None) -> str:
@@ -81,13 +93,25 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(raw)}
 
 
+def noise_words(attributes: dict[str, str]) -> set[str]:
+    """Words of NOISE_WORDS, and of OUTER_NOISE, in the classes and ids that consist of such words and words of place."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = set(WORDS.findall(CAMEL.sub(r"\1 \2", name).lower()))
+        noise = words & (NOISE_WORDS | OUTER_NOISE)
+        if noise and all(w in noise or w in PLACE_WORDS or w.isdigit() for w in words):
+            found |= noise
+    return found
+
+
 def read_blocks(page: str | None) -> list[Block]:
     """Blocks of a page outside elements known as noise. root: 2 in an article, 1 in the main element, 0 elsewhere."""
     page = page or ""
-    # path, text with the suspects around it and whether it is linked, root
-    raw_blocks: list[tuple[str, list[tuple[str, tuple[int, ...], bool]], int]] = []
-    # of every open element: name, style name, its number as a suspect or -1, root, is lowered
-    stack: list[tuple[str, str, int, int, bool]] = []
+    # path, text with the suspects around it and whether it is linked, root, list
+    raw_blocks: list[tuple[str, list[tuple[str, tuple[int, ...], bool]], int, int]] = []
+    # of every open element: name, style name, its number as a suspect or -1, root, its number as a list or -1
+    stack: list[tuple[str, str, int, int, int]] = []
+    lists = 0
     parts: list[tuple[str, tuple[int, ...], bool]] = []
     #: of every suspect: may an article or main element clear it, may most of the text
     suspects: list[tuple[bool, bool]] = []
@@ -97,9 +121,11 @@ def read_blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         if parts:
-            chain = [s[1] for s in stack if s[0] in BLOCKS or s[0] in ("td", "th")]
-            low = LOWERED if any(s[4] for s in stack) else ""
-            raw_blocks.append(("/".join(chain) + low, parts.copy(), max((s[3] for s in stack), default=0)))
+            root = max((s[3] for s in stack), default=0)
+            top = next((d for d, s in enumerate(stack) if s[3] == root), 0) if root else -1
+            chain = [s[1] for s in stack[top + 1 :] if (s[0] in BLOCKS or s[0] in ("td", "th")) and s[0] not in ("html", "body")]
+            path = "/".join([("body", "main", "article")[root], *chain[:LEVELS]])
+            raw_blocks.append((path, parts.copy(), root, max((s[4] for s in stack), default=-1)))
         parts.clear()
 
     def close(depth: int) -> None:
@@ -158,17 +184,18 @@ def read_blocks(page: str | None) -> list[Block]:
             continue
         attributes = _attributes(raw)
         words = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+        noisy = noise_words(attributes)
         root = 2 if name == "article" else 1 if name == "main" or attributes.get("role", "").lower() == "main" else 0
         inside = root or any(s[3] for s in stack)
-        named = NOISE_WORDS.intersection(words) if name not in ("html", "body") else frozenset()
+        named = noisy & NOISE_WORDS if name not in ("html", "body") and not root else frozenset()
         ambiguous = bool(inside) and named <= AMBIGUOUS
         certain = (
-            name in DROPPED
+            (name in DROPPED and not root)
             or attributes.get("role", "").lower() in NOISE_ROLES
             or "hidden" in attributes
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
-        worded = bool(named) and not ambiguous or (not inside and (name == "header" or (name not in ("html", "body") and bool(OUTER_NOISE.intersection(words)))))
+        worded = bool(named) and not ambiguous or (not inside and (name == "header" or (name not in ("html", "body") and bool(noisy & OUTER_NOISE))))
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if not certain and not worded and not never:
@@ -184,13 +211,14 @@ def read_blocks(page: str | None) -> list[Block]:
             # inside an article only a form can be the wrapper of its text
             suspects.append((worded and not certain or name == "form", not any(s[3] for s in stack) or name == "form"))
             around += (number,)
-        style = ".".join([name, *sorted(set(words))[:4]])
-        stack.append((name, style, number, root, bool(named) and ambiguous and not root))
+        style = ".".join([name, *sorted(set(words))[:4]]) + (LOWERED if named and ambiguous else "")
+        lists += name in ("ul", "ol", "dl")
+        stack.append((name, style, number, root, lists if name in ("ul", "ol", "dl") else -1))
     flush()
 
     whole, rooted, held, held_root = 0, 0, [0] * len(suspects), [0] * len(suspects)
     if suspects:
-        for _, pieces, root in raw_blocks:
+        for _, pieces, root, _ in raw_blocks:
             for t, marks, _ in pieces:
                 n = len(t.strip())
                 whole += n
@@ -200,11 +228,11 @@ def read_blocks(page: str | None) -> list[Block]:
                     held_root[k] += n if root else 0
     guilty = {k for k, (by_root, by_size) in enumerate(suspects) if not (by_size and 2 * held[k] > whole or by_root and by_size and 2 * held_root[k] > rooted)}
     out: list[Block] = []
-    for path, pieces, root in raw_blocks:
+    for path, pieces, root, list_ in raw_blocks:
         mine = [(t, link) for t, marks, link in pieces if guilty.isdisjoint(marks)]
         text = " ".join(html.unescape("".join(t for t, _ in mine)).split())
         if text:
-            out.append(Block(path, text, sum(len(t.strip()) for t, link in mine if link) / len(text), root))
+            out.append(Block(path, text, sum(len(t.strip()) for t, link in mine if link) / len(text), root, list_))
     return out
 
 
@@ -217,20 +245,31 @@ def chosen(blocks: list[Block]) -> tuple[list[Block], bool]:
     return blocks, False
 
 
+def menus(blocks: list[Block]) -> set[int]:
+    """Lists of two blocks or more in which every block is a link."""
+    linked: dict[int, list[bool]] = {}
+    for b in blocks:
+        linked.setdefault(b.list, []).append(b.link >= MENU_LINKS)
+    return {k for k, v in linked.items() if k >= 0 and len(v) > 1 and all(v)}
+
+
+def branches(path: str) -> list[str]:
+    """The branches that a path lies in, from its root on, itself the last."""
+    parts = path.split("/")
+    return ["/".join(parts[: n + 1]) for n in range(len(parts))]
+
+
 def main_text(page: str | None, dull: frozenset[str] | set[str] = frozenset()) -> str:
-    """Text of a page; `dull`: the paths of low importance on its host."""
+    """Text of a page; `dull`: the branches that go on its host."""
     blocks, marked = chosen(read_blocks(page))
-    kept = [b for b in blocks if b.path not in dull and not (b.path.endswith(LOWERED) and b.link >= 0.5)]
-    if not marked:
-        kept = [b for b in kept if b.link < 0.5] or kept
-    whole = sum(len(b.text) for b in blocks)
-    if not kept or (marked and 2 * sum(len(b.text) for b in kept) < whole):
-        kept = blocks
+    lists = set() if marked else menus(blocks)
+    gone = {p: not dull.isdisjoint(branches(p)) for p in {b.path for b in blocks}} if dull else {}
+    kept = [b for b in blocks if not gone.get(b.path) and b.list not in lists and not (LOWERED in b.path and b.link >= 0.5)]
     return "\n".join(b.text for b in kept)
 
 
 def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, importance, pages: the merged trees. Paths on under 4 pages have importance 1."""
+    """host, path, importance, pages: the merged trees with the composed importance of every branch. Pages without a host have no tree."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts: Counter = Counter()
@@ -265,30 +304,48 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     per = sums.groupBy("host", "path").agg(
         F.sum(F.when(is_shape, n)).alias("pages"),
         F.sum(F.when(is_shape, n * F.log(n))).alias("shape_log"),
+        F.sum(F.when(is_shape, n * F.col("value"))).alias("blocks"),
         F.sum(F.when(is_text, n)).alias("texts"),
         F.sum(F.when(is_text, n * F.log(n))).alias("text_log"),
     )
     log_m = F.log(F.col("pages"))
     presentation = F.lit(1) - F.col("shape_log") / F.col("pages") / log_m  # entropy of a count distribution, in units of log(pages)
     content = F.lit(1) - F.col("text_log") / F.col("texts") / log_m
-    importance = F.when(F.col("pages") >= LEAST_PAGES, 0.1 * presentation + 0.9 * content).otherwise(1.0)
-    importance = importance * F.when(F.col("path").endswith(LOWERED), 0.5).otherwise(1.0)
-    return per.select("host", "path", importance.alias("importance"), "pages")
+    own = F.when(F.col("pages") > 1, 0.1 * presentation + 0.9 * content).otherwise(1.0)
+    own = own * F.when(F.col("path").contains(LOWERED), 0.5).otherwise(1.0)
+    # every path counts in the branches above it, the farther the less
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("branch"), (F.size(parts) - k).alias("far")))
+    spread = per.select("host", "pages", "blocks", own.alias("own"), F.explode(above).alias("a"))
+    weight = F.col("blocks") * F.pow(F.lit(DECAY), F.col("a.far"))
+    return spread.groupBy("host", F.col("a.branch").alias("path")).agg((F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance"), F.max("pages").alias("pages"))
+
+
+def dull_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """host, path: the branches below a root whose importance, raised by 1 / pages of doubt, is under `least` times the root's."""
+    root = F.substring_index("path", "/", 1)
+    roots = tree.where(~F.contains("path", F.lit("/"))).select("host", F.col("path").alias("root"), F.col("importance").alias("whole"))
+    doubted = F.col("importance") + (1 - F.col("importance")) / F.col("pages")
+    return tree.where(F.contains("path", F.lit("/"))).withColumn("root", root).join(roots, ["host", "root"]).where(doubted < least * F.col("whole")).select("host", "path")
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
     """All columns of `pages` and main_text, the blocks of the main text in page order, one to a line.
 
-    A null or empty page has an empty text. Pages without a host in their url are read without a style tree.
-    Pages that repeat are read alike. A column named main_text is replaced.
+    A null or empty page has an empty text. Pages without a host in their url are read without a style tree, pages of
+    a host with one page keep all but what its elements say is noise. Pages that repeat are read alike and count as
+    pages. A page is read whole whatever its length. Columns named main_text, _dull or _host are replaced or dropped.
     """
     spark = pages.sparkSession
     kept = pages.select(*[pages[c] for c in pages.columns if c.lower() not in ("main_text", "_dull", "_host")])
-    dull = materialize(style_tree(pages, url_col=url_col, html_col=html_col).where(F.col("importance") < least).select("host", "path"), "dull-paths")
+    tree = materialize(style_tree(pages, url_col=url_col, html_col=html_col), "style-tree")
+    dull = materialize(dull_branches(tree, least), "dull-branches")
+    release(tree)
     if dull.count() <= BROADCAST_PATHS:  # a few dozen bytes each
         by: dict[str, set[str]] = {}
         for r in dull.collect():
             by.setdefault(r["host"], set()).add(r["path"])
+        release(dull)
         box = spark.sparkContext.broadcast(by)
 
         @F.pandas_udf("string")
@@ -305,6 +362,8 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", l
     def text_of(pages: pd.Series, dull: pd.Series) -> pd.Series:
         return pd.Series([main_text(p, set(d) if d is not None else frozenset()) for p, d in zip(pages, dull)], dtype=object)
 
-    sets = dull.groupBy("host").agg(F.collect_set("path").alias("_dull")).withColumnRenamed("host", "_host")
+    # written, so that the join has an exchange of its own on either side and Spark can split a hot host
+    sets = materialize(dull.groupBy("host").agg(F.collect_set("path").alias("_dull")).withColumnRenamed("host", "_host"), "dull-sets")
+    release(dull)
     joined = kept.withColumn("_host", named(F.col(url_col))).join(sets, "_host", "left")
     return joined.withColumn("main_text", text_of(F.col(html_col), F.col("_dull"))).select(*kept.columns, "main_text")

@@ -427,3 +427,50 @@ def test_style_tree_finds_the_template(spark):
     tree = {(r["host"], r["path"]): r["importance"] for r in htmltext.style_tree(df).collect()}
     assert tree["h.example", "body/div.top/p"] < 0.05 and tree["h.example", "body/div.body/p"] > 0.8
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+STORY = "<h1>Head {i}</h1><p>First words of story {i}, which are its own.</p><p><a href=/x>A paragraph that is a link {i}</a></p><ul><li>point {i}</li><li>more {i}</li></ul>"
+WANT = "Head {i}\nFirst words of story {i}, which are its own.\nA paragraph that is a link {i}\npoint {i}\nmore {i}"
+MENU = "<nav><a href=/>Home</a></nav>"
+FOOT = "<footer>Foot</footer>"
+TEMPLATES = {
+    "article": f"<body>{MENU}<div class=ad>Buy</div><article class='post has-sidebar'>{STORY}</article>{FOOT}</body>",
+    "main": f"<body><div class=site-header>Top</div><main class='entry share-enabled type-post comments-open'>{STORY}<section id=comments>Nice</section></main></body>",
+    "body": f"<body><div class='content with-sidebar' id=content>{STORY}</div><div class=top><p>Welcome to this site</p></div><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul><aside>Side</aside>{FOOT}</body>",
+    "deep": f"<body><form id=f><div class=nav-open><div id=wrap><article class=notice-of-hearing><div class=box><section id=social-history>{STORY}</section></div><div class=share-buttons><a href=/>Share</a></div></article></div></div></form>{FOOT}</body>",
+    "table": f"<body><table><tr><td class=sidebar>Links</td><td><div class=text>{STORY}</div></td></tr></table><div class=bottom><p>All rights reserved</p><p>Imprint</p></div></body>",
+}
+
+
+@pytest.mark.parametrize("template", sorted(TEMPLATES))
+def test_fifty_pages_of_a_template(template, spark):
+    rows = [(i, f"https://{template}.example/{i}", TEMPLATES[template].replace("{i}", str(i))) for i in range(50)]
+    got = {r["page_id"]: r["main_text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: WANT.replace("{i}", str(i)) for i in range(50)}
+
+
+def test_small_hosts_and_hosts_of_copies(spark, monkeypatch):
+    """Nothing but known noise goes on hosts of up to three pages, nor where all pages are alike."""
+    copy = TEMPLATES["article"].replace("{i}", "7")
+    rows = [(n, f"https://copies.example/{n}", copy) for n in range(30)]
+    rows += [(100 * k + n, f"https://few{k}.example/{n}", TEMPLATES["article"].replace("{i}", "same" if n < 2 else str(n))) for k in (1, 2, 3) for n in range(k)]
+    rows += [(900, "https://long.example/", "<article>" + "<p>word</p>" * 20000 + "</article>"), (901, "no host", copy), (902, "https://deep.example/", "<div>" * 300 + "text")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["main_text"] for r in htmltext.extract(df).collect()}
+    assert all(got[n] == WANT.replace("{i}", "7") for n in [*range(30), 901])
+    assert got[100] == got[200] == got[201] == got[300] == WANT.replace("{i}", "same") and got[302] == WANT.replace("{i}", "2")
+    assert got[900] == "\n".join(["word"] * 20000) and got[902] == "text"
+    monkeypatch.setattr(htmltext, "BROADCAST_PATHS", -1)  # the other way, by a join
+    assert {r["page_id"]: r["main_text"] for r in htmltext.extract(df).collect()} == got
+
+
+def test_importance_of_a_branch_is_composed(spark):
+    """A branch goes as one, though a part of it varies; the parts of an article stay, though one of them is alike everywhere."""
+    page = "<body><div class=text><p>Own words of page {i}</p><p>and more of {i}</p><p>and again {i}</p></div><div class=foot1><p>Printed on day {d}</p><h2>Fixed</h2><h3>Fixed too</h3><h4>Fixed as well</h4></div></body>"
+    rows = [(i, f"https://h.example/{i}", page.replace("{i}", str(i)).replace("{d}", str(i % 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tree = {r["path"]: r["importance"] for r in htmltext.style_tree(df).collect()}
+    inner = [tree[f"body/div.foot1/{t}"] for t in ("p", "h2", "h3", "h4")]
+    assert abs(tree["body/div.foot1"] - sum(inner) / 4) < 1e-9 and tree["body/div.foot1/p"] > 0.3 > tree["body/div.foot1"]
+    assert abs(tree["body"] - (0.81 * sum(inner) + 0.81 * 3 * tree["body/div.text/p"]) / (0.81 * 7)) < 1e-9
+    assert htmltext.extract(df).where("page_id = 3").first()["main_text"] == "Own words of page 3\nand more of 3\nand again 3"
