@@ -1,16 +1,24 @@
 """SentencePiece encoding and decoding as weighted finite-state transducers.
 
-A model compiles to three machines. The normaliser is a one-state transducer: a blank becomes the blank mark, all
-else is copied, and a first arc adds the mark before the text. The piece machine is a trie over the pieces, read
-backwards, whose arcs end pieces; for a unigram model a piece costs its negative score, for a BPE model it costs
-nothing but may follow another piece only where the merges of the two spelled together give back just these two
-(the states remember the last piece). The byte machine spells a character without a piece as its UTF-8 bytes.
-Composing them with an input gives an acyclic lattice over character positions; its shortest path in the tropical
-semiring (least sum of costs) is the encoding. In a BPE lattice each position has at most one state with a finite
-cost: the encoding of the text so far.
+A model compiles to machines whose weights are costs, and whose composition with an input has the encoding as its
+shortest path in the tropical semiring (costs add up along a path, the least of them counts):
+
+* the normaliser, one state: its first arc writes the blank mark, an arc turns a blank into the mark, all other
+  characters are copied;
+* the piece machine, a trie over the pieces, read backwards, whose final arcs write a piece and return to the start; a
+  unigram piece costs its negative score, a BPE piece nothing;
+* the byte machine: an arc for each character without a piece, at a cost over that of all pieces, which writes the
+  character's UTF-8 bytes;
+* the order machine of a BPE model: its state is the piece written last, and it has an arc over another piece only
+  where the merges of the two spelled together give back just these two; the cost of what has no arc is infinite. A
+  BPE encoding is not the path of least additive score, but the one path that this machine accepts throughout. The
+  order machine of a unigram model has one state and accepts everything.
+
+Composing normaliser and input gives a string; piece and byte machine over it the arcs between character positions;
+the order machine over those the states (position, last piece), whose costs are relaxed from left to right.
 
 No piece crosses the borders between chunks (before blanks; around characters that occur in no longer piece), so
-lattices are built per distinct chunk and kept.
+paths are searched per distinct chunk and kept.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from .common import only_cache
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+NONE = -1
+INFINITE = float("inf")
 MEMO = 1_000_000
 LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 
@@ -86,6 +96,7 @@ class Machines:
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = i
+        self.costs = [-score if self.kind == UNIGRAM else 0.0 for _, score, _ in self.pieces]
         self.unseen = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0) - 10.0
         self.follows: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
@@ -115,9 +126,11 @@ class Machines:
         return [self.ids.get(p, -1) for p in parts]
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Arc of the BPE machine from the state of piece `a` over piece `b`."""
-        if a < 0 or b < 0:
+        """Has the order machine an arc from the state of piece `a` over piece `b`? NONE: the start, or a character without a piece."""
+        if b < 0:
             return True
+        if a < 0:
+            return self._whole(b)
         key = a << 32 | b
         out = self.follows.get(key)
         if out is None:
@@ -126,21 +139,24 @@ class Machines:
             out = self.follows[key] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
         return out
 
-    def shortest(self, text: str) -> list[int]:
-        """Pieces on the shortest path of the lattice of `text`; -1: a character without a piece."""
-        last, back = (self._bpe if self.kind == BPE else self._unigram)(text)
-        out, at = [], len(text)
-        while at > 0:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
+    def normalised(self, text: str) -> str:
+        """Composition of an input with the normaliser."""
+        text = text.replace(" ", MARK)
+        return MARK + text if self.prefix else text
 
-    def _bpe(self, text: str) -> tuple[list[int], list[int]]:
-        """Every position has one state of finite cost, 0: the last piece of the encoding up to there."""
-        n = len(text)
-        last, back, follows = [-1] * (n + 1), list(range(-1, n)), self.follows
+    def shortest(self, text: str) -> list[int]:
+        """Pieces on the shortest path of a normalised text through the machines; NONE: a character without a piece.
+
+        The composition is made as it is searched: at each position the piece machine walks back over the text, an arc
+        for every piece that ends there, and the order machine takes those that it accepts from the state reached at
+        their start. Either order machine is in one state at a position: a unigram machine has no other, and of a text
+        up to there a BPE machine accepts just the one encoding, so that the first arc it accepts is the only one. Of
+        equal costs the longer piece wins.
+        """
+        ordered, follows, trie, costs, n = self.kind == BPE, self.follows, self.trie, self.costs, len(text)
+        cost, last, back = [0.0] + [INFINITE] * n, [NONE] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            node, at = self.trie, end
+            node, at, least, single = trie, end, INFINITE, False
             while at:
                 at -= 1
                 node = node.get(text[at])
@@ -149,42 +165,29 @@ class Machines:
                 piece = node.get("")
                 if piece is None:
                     continue
-                before = last[at]
-                if at and before < 0:
-                    fits = True
-                else:
-                    key = before << 32 | piece if at else -1 - piece
-                    fits = follows.get(key)
-                    if fits is None:
-                        fits = self.may_follow(before, piece) if at else self._whole(piece)
-                if fits:
-                    last[end], back[end] = piece, at
-                    break
-        return last, back
-
-    def _unigram(self, text: str) -> tuple[list[int], list[int]]:
-        n = len(text)
-        cost, last, back = [0.0] + [float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            node, at, single = self.trie, end, False
-            while at:
-                at -= 1
-                node = node.get(text[at])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is not None:
-                    single = single or at == end - 1
-                    c = cost[at] - self.pieces[piece][1]
-                    if c < cost[end]:
-                        cost[end], last[end], back[end] = c, piece, at
-            if not single and cost[end - 1] + self.unseen * -1 < cost[end]:
-                cost[end], last[end], back[end] = cost[end - 1] - self.unseen, -1, end - 1
-        return last, back
+                single = single or at == end - 1
+                if ordered:
+                    before = last[at]
+                    accepts = follows.get(before << 32 | piece if before >= 0 else NONE - piece)
+                    if not (self.may_follow(before, piece) if accepts is None else accepts):
+                        continue
+                total = cost[at] + costs[piece]
+                if total <= least:
+                    least, last[end], back[end] = total, piece, at
+                    if ordered:
+                        break
+            if not single and cost[end - 1] - self.unseen < least and not (ordered and least < INFINITE):  # the byte machine
+                least, last[end], back[end] = cost[end - 1] - self.unseen, NONE, end - 1
+            cost[end] = least
+        out: list[int] = []
+        while n:
+            out.append(last[n])
+            n = back[n]
+        return out[::-1]
 
     def _whole(self, piece: int) -> bool:
-        """Arc from the start: the piece is what its own text encodes to."""
-        key = -1 - piece
+        """The order machine's arc from the start: the piece is what its own text encodes to."""
+        key = NONE - piece
         if key not in self.follows:
             self.follows[key] = self.merged(self.pieces[piece][0]) == [piece]
         return self.follows[key]
@@ -209,8 +212,7 @@ class Machines:
         """Ids of a whole text as little-endian unsigned 32-bit integers; none for null and empty texts."""
         if not text:
             return b""
-        text = text.replace(" ", MARK)
-        chunks = self.cut.findall(MARK + text if self.prefix else text)
+        chunks = self.cut.findall(self.normalised(text))
         memo = self.memo
         try:
             return b"".join(map(memo.__getitem__, chunks))

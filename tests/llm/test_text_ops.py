@@ -375,16 +375,65 @@ def test_sentencepieces(spark):
     assert sentencepieces.encode(df.limit(0), model_path=path).count() == 0
 
 
-def test_unigram_lattice_takes_the_cheapest_path():
+def small_machines(pieces, kind, fallback=False):
     m = sentencepieces.Machines.__new__(sentencepieces.Machines)
-    m.pieces = [("a", -1.0, 1), ("b", -1.0, 1), ("ab", -1.5, 1), ("abc", -9.0, 1), ("c", -2.0, 1)]
-    m.kind, m.unseen, m.trie = sentencepieces.UNIGRAM, -20.0, {}
+    m.pieces = [(p, score, sentencepieces.NORMAL) for p, score in pieces]
+    m.kind, m.unseen, m.trie, m.follows, m.memo, m.spell, m.prefix, m.unknown = kind, -20.0, {}, {}, {}, None, False, 0
+    m.ids = {p: i for i, (p, _) in enumerate(pieces)}
+    m.costs = [-s if kind == sentencepieces.UNIGRAM else 0.0 for _, s in pieces]
+    m.bytes = {b: 1000 + b for b in range(256)} if fallback else {}
+    m.cut = re.compile("(?s:.+)")
     for i, (p, _, _) in enumerate(m.pieces):
         node = m.trie
         for ch in reversed(p):
             node = node.setdefault(ch, {})
         node[""] = i
-    assert m.shortest("abc") == [2, 4] and m.shortest("a?b") == [0, -1, 1]
+    return m
+
+
+def test_unigram_lattice_takes_the_cheapest_path():
+    m = small_machines([("a", -1.0), ("b", -1.0), ("ab", -1.5), ("abc", -9.0), ("c", -2.0)], sentencepieces.UNIGRAM)
+    assert m.shortest("abc") == [2, 4] and m.shortest("a?b") == [0, -1, 1] and m.shortest("") == []
+
+
+def every_path(m, text):
+    """All paths through the pieces of a text, without a lattice."""
+    if not text:
+        return [[]]
+    out = [[i, *rest] for p, i in m.ids.items() if text.startswith(p) for rest in every_path(m, text[len(p) :])]
+    return out + ([] if text[0] in m.ids else [[-1, *rest] for rest in every_path(m, text[1:])])
+
+
+def test_shortest_path_against_every_path():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        names = {"".join(rng.choice(list("abc"), int(rng.integers(1, 5)))) for _ in range(14)} - {""}
+        scores = [-float(x) for x in rng.permutation(len(names)) + 1]
+        m = small_machines(list(zip(sorted(names), scores)), sentencepieces.UNIGRAM)
+        for text in ("".join(rng.choice(list("abcd"), 7)) for _ in range(4)):
+            cost = lambda path: sum(m.costs[i] if i >= 0 else -m.unseen for i in path)
+            assert cost(m.shortest(text)) == min(map(cost, every_path(m, text)))
+
+
+def test_order_machine_accepts_the_merges_and_nothing_else():
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        parts = ["a", "b", "c"]
+        for _ in range(10):  # merges of what is there, as training makes them
+            parts.append(str(rng.choice(parts)) + str(rng.choice(parts)))
+        names = list(dict.fromkeys(parts))
+        m = small_machines([(p, -float(i)) for i, p in enumerate(names)], sentencepieces.BPE)
+        for text in ("".join(rng.choice(list("abc"), 8)) for _ in range(4)):
+            want = m.merged(text)
+            ok = [p for p in every_path(m, text) if all(m.may_follow(a, b) for a, b in zip([-1, *p], p))]
+            assert m.shortest(text) == want and ok == [want]
+
+
+def test_characters_without_a_piece():
+    for fallback in (False, True):
+        m = small_machines([("a", -1.0), ("b", -1.0), ("ab", -0.5)], sentencepieces.UNIGRAM, fallback)
+        ids = list(array.array("I", m.encode("abéxa")))
+        assert ids == ([2, 1000 + 0xC3, 1000 + 0xA9, 1000 + ord("x"), 0] if fallback else [2, 0, 0])
 
 
 # pages
