@@ -39,7 +39,7 @@ PAIRS = 600  # random pairs that the cap is measured on
 SKETCH_SIGMAS = 7.0
 OWN_ROTATION = 128  # dimensions
 CHUNK = 256
-BLOCK = 512
+BLOCK = 140  # two of them are one comparison; a group of a thousand is dealt over dozens of tasks
 
 
 class Codes:
