@@ -148,7 +148,7 @@ def surviving(a: np.ndarray, b: np.ndarray, floor: list[int]) -> np.ndarray:
     return at
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", numerator: int = 85, denominator: int = 100, width: int = 5, with_key: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", numerator: int = 4, denominator: int = 5, width: int = 5, with_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `docs`; on demand set_key, the key of its shingle set.
 
     Texts are linked where denominator * |intersection| >= numerator * |union| of their shingle sets. Texts without

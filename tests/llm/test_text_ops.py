@@ -115,7 +115,7 @@ def plain_sets(texts):
     return out
 
 
-def brute_components(ids, sets):
+def brute_components(ids, sets, numerator, denominator):
     comp = dict(zip(ids, ids))
 
     def find(a):
@@ -126,13 +126,14 @@ def brute_components(ids, sets):
     for i, a in enumerate(ids):
         for b, s in zip(ids[:i], sets):
             both = len(s & sets[i])
-            if both and 100 * both >= 85 * (len(s) + len(sets[i]) - both):
+            if both and denominator * both >= numerator * (len(s) + len(sets[i]) - both):
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("numerator, denominator", [(85, 100), (4, 5)])
+def test_near_duplicates_against_brute_force(numerator, denominator, spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -142,12 +143,15 @@ def test_near_duplicates_against_brute_force(spark):
             texts.append(" ".join(base))
             for _ in range(int(rng.integers(0, 3))):
                 base[int(rng.integers(0, 120))] = str(rng.choice(words))
+    texts += [" ".join(f"long{i % 997}x{i}" for i in range(60000))] * 2  # a very long text and its copy
     texts += ["", None, " \t\n", "one two", "ONE  two", "one two three four five", "Über alles", "über alles"]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    got = {r["doc_id"]: r for r in neardup.near_duplicates(spark.createDataFrame([(int(i), t) for i, t in rows], DOCS)).collect()}
+    df = spark.createDataFrame([(int(i), t) for i, t in rows], DOCS)
+    out = neardup.near_duplicates(df, numerator=numerator, denominator=denominator) if denominator == 100 else neardup.near_duplicates(df)  # 4/5 by itself
+    got = {r["doc_id"]: r for r in out.collect()}
     sets = plain_sets(texts)
-    want = brute_components(list(range(len(texts))), sets)
+    want = brute_components(list(range(len(texts))), sets, numerator, denominator)
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
