@@ -2,7 +2,8 @@
 
 1. quality: the compression classifier, learned from `labels.quality`; rejected documents go.
 2. toxicity: nearest labelled examples, learned from `labels.toxic`; rejected documents go.
-3. near_dedup: MinHash near-duplicates; the smallest doc_id of each group stays, and rows without a doc_id that copy none.
+   Neither rejects anything where the labels of a class are missing.
+3. near_dedup: MinHash near-duplicates of five-word shingles and a similarity of 0.8 or more; the smallest doc_id of each group stays, and rows without a doc_id that copy none.
 4. secrets: what the secret scan finds is replaced by a mark in the text.
 5. packing: documents are tokenized and packed into sequences of at most 4096 tokens.
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import neardup, packing, quality, secrets, toxicity
-from lexiloom.llm.common import materialize, table
+from lexiloom.llm.common import materialize, release, table
 from lexiloom.llm.queries import SEQUENCE_TOKENS, tokenizer_file
 
 ORACLE_SQL = None  # classifiers and tokenizers are beyond SQL; tests hold the stages against plain versions
@@ -23,16 +24,20 @@ ORACLE_SQL = None  # classifiers and tokenizers are beyond SQL; tests hold the s
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return quality.score_quality(docs, model).where("quality_label = 1").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return toxicity.score_toxicity(docs, model).where("toxicity_label = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), with_key=True), "near-duplicates")
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), with_key=True)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     whole = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     copies = found.where("doc_id is null and not kept").select("set_key").distinct()  # a row without an id is known by its set
@@ -58,8 +63,7 @@ STAGES = [("quality", keep_good), ("toxicity", drop_toxic), ("near_dedup", drop_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+    for name, stage in STAGES:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return docs
