@@ -46,8 +46,9 @@ def sample_groups(df: DataFrame, idx: str, groups: list[str], seed: int, epoch:
     block of `batch` positions.
     """
     size = batch * world
-    keys = [order if order is not None else T.hash_order(str(seed), *[F.col(g) for g in groups]), *[F.col(g) for g in groups], T.hash_order(str(seed), F.col(idx)), F.col(idx)]
-    rows = numbered(df.select(idx, *groups), keys).withColumn("_b", F.floor(F.col("rn") / size).cast("long"))
+    group = order if order is not None else T.hash_order(str(seed), *[F.col(g) for g in groups])
+    keys = [F.col("_group"), *[F.col(g) for g in groups], T.hash_order(str(seed), F.col(idx)), F.col(idx)]
+    rows = numbered(df.select(idx, *groups, group.alias("_group")), keys).withColumn("_b", F.floor(F.col("rn") / size).cast("long"))
     full = df.count() // size
     rows = rows.where(F.col("_b") < full)
     batches = df.sparkSession.range(full).select(F.col("id").alias("_b"))
@@ -82,23 +83,70 @@ def batch_scores(pairs: DataFrame, batch: str = "batch_id") -> DataFrame:
     return a.join(b, batch).select(batch, "qi", "di", V.dot(F.col("_q"), F.col("_x")).alias("score"))
 
 
-def mask_false_negatives(scores: DataFrame, threshold: float) -> DataFrame:
-    """scores with `masked`: columns at least as good as the row's own positive (threshold 1.0) or as `threshold`; never the positive."""
-    own = F.max(F.when(F.col("qi") == F.col("di"), F.col("score"))).over(Window.partitionBy("batch_id", "qi"))
-    high = F.col("score") >= (own if threshold == 1.0 else F.lit(threshold))
-    return scores.withColumn("masked", high & (F.col("qi") != F.col("di")))
+def negative_scores(pairs: DataFrame, negatives: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """`batch_scores` with the hard negatives (owner, did, v) of the batch as further columns: (batch_id, qi, di, owner, score).
 
+    owner is the pair that a column belongs to: its own for a document, that it was mined for for a negative. di tells
+    columns apart, so ids of negatives must differ from those of pairs.
+    """
+    q = pairs.select(batch, F.col("i").alias("qi"), V.normalize(F.col("q")).alias("_q"))
+    own = pairs.select(batch, F.col("i").alias("di"), F.col("i").alias("owner"), V.normalize(F.col("x")).alias("_x"))
+    mined = negatives.join(pairs.select(batch, F.col("i").alias("owner")), "owner").select(batch, F.col("did").alias("di"), "owner", V.normalize(F.col("v")).alias("_x"))
+    return q.join(own.unionByName(mined), batch).select(batch, "qi", "di", "owner", V.dot(F.col("_q"), F.col("_x")).alias("score"))
+
+
+def mask_false_negatives(scores: DataFrame, threshold: float | None, in_batch: bool = True) -> DataFrame:
+    """scores with `masked`, which never covers the positive.
+
+    Columns at least as good as the row's own positive (threshold 1.0) or as `threshold` are masked; no threshold masks
+    none. With hard negatives (a column `owner`) those mined for the row itself are never masked where columns of the
+    batch count as negatives (`in_batch`); where they do not, all columns of other owners are masked as well.
+    """
+    positive = F.col("qi") == F.col("di")
+    own = F.max(F.when(positive, F.col("score"))).over(Window.partitionBy("batch_id", "qi"))
+    high = F.lit(False) if not threshold else F.col("score") >= (own if threshold == 1.0 else F.lit(threshold))
+    if "owner" in scores.columns:
+        match = F.col("owner") == F.col("qi")
+        high = high & ~match if in_batch else high | ~match
+    return scores.withColumn("masked", high & ~positive)
+
+
+def with_positives(scores: DataFrame, equal: DataFrame) -> DataFrame:
+    """scores with `positive`: the row's own column and those that `equal` (a, b), in either order, calls the same; at most one row a pair."""
+    both = equal.select(F.col("a").alias("qi"), F.col("b").alias("di")).unionByName(equal.select(F.col("b").alias("qi"), F.col("a").alias("di"))).distinct()
+    found = scores.join(both.withColumn("_same", F.lit(True)), ["qi", "di"], "left")
+    return found.withColumn("positive", F.coalesce("_same", F.lit(False)) | (F.col("qi") == F.col("di"))).drop("_same")
 
-def contrastive_loss(scores: DataFrame, temperature: float) -> DataFrame:
-    """(batch_id, loss, accuracy): mean cross entropy of the positives over the unmasked columns, and the share of queries whose best column is theirs."""
-    s = F.when(F.col("masked"), F.lit(-1e10)).otherwise(F.col("score") * temperature)
+
+def contrastive_loss(scores: DataFrame, temperature: float, world: int = 1) -> DataFrame:
+    """(batch_id, loss, accuracy): mean cross entropy over the unmasked columns, and the share of queries whose best column is a positive.
+
+    The positives of a row (column `positive`; without it the row's own column) share the label equally and are never
+    masked. `world` scales the loss to the number of ranks that share their negatives.
+    """
+    positive = F.col("positive") if "positive" in scores.columns else F.col("qi") == F.col("di")
+    s = F.when(F.col("masked") & ~positive, F.lit(-1e10)).otherwise(F.col("score") * temperature)
     top = F.max(s).over(Window.partitionBy("batch_id", "qi"))
-    rows = scores.withColumn("s", s).withColumn("top", top)
+    rows = scores.withColumn("_p", positive).withColumn("s", s).withColumn("top", top)
     per = rows.groupBy("batch_id", "qi").agg(
-        (F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top")))) - F.max(F.when(F.col("qi") == F.col("di"), F.col("s")))).alias("loss"),
-        F.max_by("di", F.struct(F.col("s"), -F.col("di"))).alias("best"),
+        (F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top")))) - F.avg(F.when(F.col("_p"), F.col("s")))).alias("loss"),
+        F.max_by("_p", F.struct(F.col("s"), -F.col("di"))).alias("hit"),
     )
-    return per.groupBy("batch_id").agg(F.avg("loss").alias("loss"), F.avg((F.col("best") == F.col("qi")).cast("double")).alias("accuracy"))
+    return per.groupBy("batch_id").agg((F.avg("loss") * world).alias("loss"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+
+
+def cut_padding(rows: DataFrame, batch: str, ids: str, mask: str, pad: int = 0) -> DataFrame:
+    """All rows with `ids` and `mask` cut where, for the first time, all rows of the batch are padding; without such a place they stay."""
+    spread = rows.select(batch, F.posexplode(ids).alias("_at", "_id"))
+    empty = spread.groupBy(batch, "_at").agg(F.bool_and(F.col("_id") == pad).alias("_all")).where("_all")
+    first = empty.groupBy(batch).agg(F.min("_at").alias("_end"))
+    end = F.coalesce("_end", F.size(ids))
+    return rows.join(first, batch, "left").withColumns({ids: F.slice(ids, F.lit(1), end), mask: F.slice(mask, F.lit(1), end)}).drop("_end")
+
+
+def inputs_for(rows: DataFrame, prefix: str, *keys: str) -> DataFrame:
+    """The columns of one input, `prefix` taken out of their names wherever it stands, beside `keys`."""
+    return rows.select(*keys, *[F.col(c).alias(c.replace(prefix, "")) for c in rows.columns if c.startswith(prefix)])
 
 
 def get_sampler(strategy: str, df: DataFrame, idx: str, *, seed: int, epoch: int, batch: int, world: int = 1, domain: str = "dataset", cluster: str = "cluster") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +57,47 @@ def flatten_results(entries: DataFrame) -> DataFrame:
     return entries.where(~skip).select("task", "metric", (F.col("value") * 100).alias("value"))
 
 
+def parse_results(raw: DataFrame, splits: dict[str, str] | None = None, languages: dict[str, list[str]] | None = None) -> DataFrame:
+    """(task, split, lang, metric, value) of result files (task, content).
+
+    A file is {split: {metric: value or {sub: value}}}, with a level of languages below the split for the tasks that
+    `languages` gives more than one. The split is that of `splits` where the file has it, else test; a file without
+    test is left out, as is a language it lacks. The metric of a sub-value is named metric_sub. Numbers only.
+    """
+    splits, languages = splits or {}, languages or {}
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for task, content in zip(b["task"], b["content"]):
+                found = json.loads(content)
+                split = splits.get(task) if splits.get(task) in found else "test"
+                if split not in found:
+                    continue
+                several = len(languages.get(task, ())) > 1
+                for lang in languages[task] if several else ["default"]:
+                    scores = found[split].get(lang) if several else found[split]
+                    for metric, value in (scores or {}).items():
+                        for sub, x in (value if isinstance(value, dict) else {metric: value}).items():
+                            if isinstance(x, (int, float)):
+                                rows.append((task, split, lang, metric if sub == metric else f"{metric}_{sub}", float(x)))
+            yield pd.DataFrame(rows, columns=["task", "split", "lang", "metric", "value"])
+
+    return raw.select("task", "content").mapInPandas(entries, "task string, split string, lang string, metric string, value double")
+
+
+def main_scores(flat: DataFrame, tasks: DataFrame, named: dict[str, str]) -> DataFrame:
+    """(task, value): of the flat results of each task (task, category) the metric that `named` gives its category."""
+    wanted = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    rows = flat.join(tasks, "task").where(F.col("metric") == F.try_element_at(wanted, F.col("category")))
+    return rows.groupBy("task").agg(F.first("value").alias("value"))
+
+
+def leaderboard_wide(scores: DataFrame, tasks: DataFrame, categories: list[str]) -> DataFrame:
+    """`leaderboard` as one row: a column for the overall average and one for each category."""
+    return leaderboard(scores, tasks).groupBy().pivot("category", ["overall", *categories]).agg(F.first("average"))
+
+
 def leaderboard(scores: DataFrame, tasks: DataFrame) -> DataFrame:
     """(category, average): rounded means of task scores per category and overall; any missing task makes the mean null.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .batches import numbered
 
 BROADCAST_BYTES = 64 << 20
 BLOCK = 256
@@ -99,6 +100,32 @@ def context_interpolated(run: DataFrame, random: DataFrame, k: int, seed: str) -
     return both.withColumn("ctx_pos", pos).where(F.col("ctx_pos") < k).select("qid", "ctx_pos", "did")
 
 
+def context_random(queries: DataFrame, corpus: DataFrame, k: int, seed: str) -> DataFrame:
+    """(qid, ctx_pos, did): k documents of the whole corpus for each query, drawn with replacement by hash."""
+    n = corpus.count()
+    pos = queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("ctx_pos"))
+    drawn = pos.withColumn("rn", F.floor(T.uniform(seed, F.col("qid"), F.col("ctx_pos")) * n).cast("long"))
+    return drawn.join(numbered(corpus.select("did"), [F.col("did")]), "rn").select("qid", "ctx_pos", "did")
+
+
+def context_fake(queries: DataFrame, k: int) -> DataFrame:
+    """(qid, ctx_pos, token, mask): a context of k equal tokens, to see what a model makes of none."""
+    return queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("ctx_pos"), F.lit(1).alias("token"), F.lit(1).alias("mask"))
+
+
+def assemble_context(context: DataFrame, keys: list[str], size: int, null: list[float] | None = None, dropout: float = 0.0, seed: str = "drop") -> DataFrame:
+    """(keys..., ctx_pos, v) of context vectors (keys..., ctx_pos, v): the first `size` positions of each context.
+
+    With `null`, a share `dropout` of them (by hash) is replaced by that vector; all of them if dropout is 1. Rows that
+    share a context carry its key and join it.
+    """
+    out = context.where(F.col("ctx_pos") < size)
+    if null is not None:
+        gone = T.uniform(seed, *[F.col(k) for k in keys], F.col("ctx_pos")) < dropout
+        out = out.withColumn("v", F.when(gone, F.array(*[F.lit(float(x)) for x in null])).otherwise(F.col("v").cast("array<double>")))
+    return out.select(*keys, "ctx_pos", "v")
+
+
 def context_pooled(run: DataFrame, corpus: DataFrame, k: int, pools: int = 4) -> DataFrame:
     """(qid, ctx_pos, v): pools x k documents in `pools` runs of k; position j is the mean of the j-th of each run."""
     rows = run.where(F.col("rank") <= pools * k).withColumn("ctx_pos", (F.col("rank") - 1) % k).join(corpus, "did")

@@ -206,17 +206,99 @@ def inbatch_accuracy(spark, d):
     return B.contrastive_loss(B.mask_false_negatives(scores(spark, d), 1.0), 50.0).select("batch_id", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("eval_by_sampler")
+#: A pair is a positive of the pairs of its domain in its batch, too.
+POSITIVES = f"{SCORES}, ps as (select s.batch_id, s.qi, s.di, s.score, s.qi = s.di or a.domain = b.domain as positive from sc s join vp a on a.i = s.qi join vp b on b.i = s.di), pm as (select *, score >= max(case when qi = di then score end) over (partition by batch_id, qi) and not positive as masked from ps)"
+
+
+def equal_domains(spark, d):
+    p = vec_pairs(spark, d).select("i", "domain", F.floor(F.col("i") / 16).alias("batch_id"))
+    a, b = p.withColumnRenamed("i", "a"), p.withColumnRenamed("i", "b")
+    return a.join(b, ["batch_id", "domain"]).where("a < b").select("a", "b")  # within batches of 16
+
+
+@query(
+    "contrastive_loss_soft",
+    f"with {POSITIVES}, s as (select *, case when masked then -1e10 else 50 * score end as s from pm), t as (select *, max(s) over (partition by batch_id, qi) as top from s), l as (select batch_id, qi, any_value(top) + ln(sum(exp(s - top))) - avg(case when positive then s end) as loss, arg_min(positive, (-s, di)) as hit from t group by 1, 2) "
+    "select batch_id, round(4 * avg(loss), 4) as loss, round(avg(cast(hit as double)), 6) as accuracy from l group by 1",
+)
+def contrastive_loss_soft(spark, d):
+    """Several positives a query, which share its label; scaled to 4 ranks."""
+    marked = B.with_positives(B.mask_false_negatives(scores(spark, d), 1.0), equal_domains(spark, d))
+    return B.contrastive_loss(marked, 50.0, world=4).select("batch_id", F.round("loss", 4).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
+
+
+#: The hard negative of a pair is the query vector of its neighbour.
+NEGATIVE_SCORES = f"{VEC_PAIRS}, cols as (select i // 16 as batch_id, i as di, i as owner, x as v from vp union all select a.i // 16, 1000000 + a.i, a.i, b.q from vp a join vp b on b.i = a.i + 1 - 2 * (a.i % 2)), ns as (select q.i // 16 as batch_id, q.i as qi, c.di, c.owner, list_dot_product(q.q, c.v) / sqrt(list_dot_product(q.q, q.q) * list_dot_product(c.v, c.v)) as score from vp q join cols c on c.batch_id = q.i // 16), own as (select *, max(case when qi = di then score end) over (partition by batch_id, qi) as own from ns)"
+
+
+def scores_with_negatives(spark, d):
+    p = vec_pairs(spark, d).withColumn("batch_id", F.floor(F.col("i") / 16))
+    neighbour = (F.col("i") + 1 - 2 * (F.col("i") % 2)).alias("owner")
+    mined = p.select(neighbour, F.col("q").alias("v")).select("owner", (F.lit(1000000) + F.col("owner")).alias("did"), "v")
+    return B.negative_scores(p, mined)
+
+
+@query("mask_hard_negatives", f"with {NEGATIVE_SCORES} select batch_id, qi, di, score >= own and owner <> qi and qi <> di as in_batch, (score >= own or owner <> qi) and qi <> di as alone from own")
+def mask_hard_negatives(spark, d):
+    """Both rules: the columns of the batch as negatives beside the mined ones, and the mined ones alone."""
+    s = scores_with_negatives(spark, d)
+    first = B.mask_false_negatives(s, 1.0, in_batch=True).withColumnRenamed("masked", "in_batch")
+    return first.join(B.mask_false_negatives(s, 1.0, in_batch=False).select("batch_id", "qi", "di", F.col("masked").alias("alone")), ["batch_id", "qi", "di"]).select("batch_id", "qi", "di", "in_batch", "alone")
+
+
+@query(
+    "contrastive_loss_negatives",
+    f"with {NEGATIVE_SCORES}, s as (select batch_id, qi, di, case when score >= own and owner <> qi and qi <> di then -1e10 else 50 * score end as s from own), t as (select *, max(s) over (partition by batch_id, qi) as top from s), l as (select batch_id, qi, any_value(top) + ln(sum(exp(s - top))) - max(case when qi = di then s end) as loss from t group by 1, 2) select batch_id, round(avg(loss), 5) as loss from l group by 1",
+)
+def contrastive_loss_negatives(spark, d):
+    return B.contrastive_loss(B.mask_false_negatives(scores_with_negatives(spark, d), 1.0), 50.0).select("batch_id", F.round("loss", 5).alias("loss"))
+
+
+@query("cut_padding", f"with {TOKEN_BATCH}, n as (select batch_id, max(len(ids)) as n from tk group by 1) select doc_id, list_concat(ids, list_transform(range(n - len(ids)), lambda i: cast(0 as bigint))) as input_ids, list_transform(range(n), lambda i: cast(case when i < len(ids) then 1 else 0 end as integer)) as mask from tk join n using (batch_id)")
+def cut_padding(spark, d):
+    """Batches padded to 40 positions and cut to their longest row."""
+    t = tables.read_table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch_id"), T.token_ids(F.col("text"), 1000, 32).alias("ids"))
+    padded = t.select("doc_id", "batch_id", T.pad(F.col("ids"), 40).alias("input_ids"), T.attention_mask(F.col("ids"), 40).alias("mask"))
+    return B.cut_padding(padded, "batch_id", "input_ids", "mask").select("doc_id", "input_ids", "mask")
+
+
+@query("inputs_for_prefix", "select doc_id, text as ids, source as attention from documents")
+def inputs_for_prefix(spark, d):
+    t = tables.read_table(spark, d, "documents").select("doc_id", F.col("text").alias("query_ids"), F.col("source").alias("query_attention"), F.col("lang").alias("document_ids"))
+    return B.inputs_for(t, "query_", "doc_id")
+
+
+RANDOM_PAIRS = "select i, batch_id from (with n as (select count(*) // 16 * 16 as per from vp), r as (select i, row_number() over (order by " + order_sql("'42'", "cast(i as varchar)") + ", i) - 1 as rn from vp) select i, rn // 16 as batch_id from r, n where rn < per)"
+CLUSTERED = "(select *, i // 10 as cluster from vp)"
+PLACED = (
+    f"pl as (select 'random' as strategy, i, batch_id from ({RANDOM_PAIRS}) union all select 'domain', i, batch_id from ({groups_sql('vp', 'i', ['domain'], 16, 1)}) "
+    f"union all select 'cluster_within_domain', i, batch_id from ({groups_sql(CLUSTERED, 'i', ['domain', 'cluster'], 16, 1, order=order_sql(chr(39) + '42' + chr(39), 'cast(domain as varchar)'))}))"
+)
+
+
+@query(
+    "eval_by_sampler",
+    f"with {VEC_PAIRS}, {PLACED}, sc as (select pa.strategy, pa.batch_id, a.i as qi, b.i as di, list_dot_product(a.q, b.x) / sqrt(list_dot_product(a.q, a.q) * list_dot_product(b.x, b.x)) as score from pl pa join pl pb on pa.strategy = pb.strategy and pa.batch_id = pb.batch_id join vp a on a.i = pa.i join vp b on b.i = pb.i), "
+    "mk as (select *, score >= max(case when qi = di then score end) over (partition by strategy, batch_id, qi) and qi <> di as masked from sc), s as (select *, case when masked then -1e10 else 50 * score end as s from mk), t as (select *, max(s) over (partition by strategy, batch_id, qi) as top from s), "
+    "l as (select strategy, batch_id, qi, any_value(top) + ln(sum(exp(s - top))) - max(case when qi = di then s end) as loss from t group by 1, 2, 3), b as (select strategy, batch_id, avg(loss) as loss from l group by 1, 2) select strategy, round(avg(loss), 4) as loss, count(*) as batches from b group by 1",
+)
 def eval_by_sampler(spark, d):
     """Mean loss of the batches that each sampler makes over the vector pairs."""
-    p = vec_pairs(spark, d)
+    p = vec_pairs(spark, d).withColumn("cluster", F.floor(F.col("i") / 10))
     out = None
-    for name, groups in (("random", None), ("domain", ["domain"])):
-        if groups is None:
-            placed = B.sample_random(p, "i", 42, 0, 16, 1).select("i", "batch_id")
-        else:
-            placed = B.sample_groups(p, "i", groups, 42, 0, 16).select("i", "batch_id")
+    for name in ("random", "domain", "cluster_within_domain"):
+        placed = B.get_sampler(name, p, "i", seed=42, epoch=0, batch=16, domain="domain").select("i", "batch_id")
         loss = B.contrastive_loss(B.mask_false_negatives(B.batch_scores(p.join(placed, "i")), 1.0), 50.0)
-        part = loss.agg(F.lit(name).alias("strategy"), F.round(F.avg("loss"), 5).alias("loss"), F.count("*").alias("batches"))
+        part = loss.agg(F.lit(name).alias("strategy"), F.round(F.avg("loss"), 4).alias("loss"), F.count("*").alias("batches"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("sample_packed_clusters", groups_sql("(select vec_id, label, (label * 7) % 10 as place from embeddings)", "vec_id", ["label"], 16, 1, order="place"))
+def sample_packed_clusters(spark, d):
+    """Clusters in the order of a tour, here that of label x 7 modulo 10, instead of a random one."""
+    from ..operators import clustering
+
+    e = tables.read_table(spark, d, "embeddings").select("vec_id", "label")
+    order = sorted(range(10), key=lambda c: c * 7 % 10)
+    return B.sample_groups(clustering.packed(e, "label", order), "vec_id", ["label"], 42, 0, 16, order=F.col("place"))

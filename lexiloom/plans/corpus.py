@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import cache, tables
+from ..work import new_path
 from .base import CONV_PAIRS, TEXT_PAIRS, conv_pairs, query, text_pairs, tokens_sql, uniform_sql, values
 
 VOCABULARY, MAX_LENGTH = 30522, 32
@@ -22,7 +23,11 @@ def scan_documents(spark, d):
 
 @query("prefix_dim", f"with {PREFIX_SQL} select * from dim")
 def prefix_dim(spark, d):
-    return values(spark, PREFIXES, PREFIX_SCHEMA)
+    """Written as a YAML list and read back."""
+    path = new_path(spark, "prefixes")
+    lines = [x for name, q, p, s in PREFIXES for x in (f"- name: {name}", f"  query_prefix: {q}", f"  document_prefix: {p}", f"  is_symmetric: {str(s).lower()}")]
+    spark.createDataFrame([("\n".join(lines),)], "line string").coalesce(1).write.text(path)
+    return tables.read_prefixes(spark, path)
 
 
 @query("text_pairs", f"with {TEXT_PAIRS} select * from tp")
@@ -43,13 +48,16 @@ def embedding_shards(spark, d):
 
 @query("cluster_export_txt", "select vec_id as idx, cast(label as varchar) as line from embeddings")
 def cluster_export(spark, d):
-    return tables.read_table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("string").alias("line"))
+    """Written one id a line in the order of idx, and read back by line number."""
+    path = new_path(spark, "assignments")
+    tables.write_assignments_text(tables.read_table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").alias("cluster")), path)
+    return tables.read_assignments_text(spark, path).select("idx", F.col("cluster").cast("string").alias("line"))
 
 
 @query("cache_key", """select md5('{"batch_size": "512", "column": "document", "dataset": "' || source || '"}') as cache_key, source from (select distinct source from documents)""")
 def cache_key(spark, d):
-    s = tables.read_table(spark, d, "documents").select("source").distinct()
-    return s.select(F.md5(F.concat(F.lit('{"batch_size": "512", "column": "document", "dataset": "'), "source", F.lit('"}'))).alias("cache_key"), "source")
+    names = [r[0] for r in tables.read_table(spark, d, "documents").select("source").distinct().collect()]  # a row a dataset
+    return values(spark, [(cache.cache_key(dataset=n, column="document", batch_size=512, _verbose=True), n) for n in names], "cache_key string, source string")
 
 
 @query("fingerprints", "select doc_id, md5(concat_ws('__', cast(doc_id as varchar), lang, source)) as fingerprint from documents")

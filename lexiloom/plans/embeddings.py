@@ -118,8 +118,23 @@ def encode_udf(spark, d):
     return e.apply(tables.read_table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", "embedding")
 
 
-@query("svd_downscale", "select count(*) as n, 64 as size_before, 16 as size_after, true as unit_length from embeddings")
+#: The Gramian and its 2^12-th power, which keeps the leading direction only.
+GRAMIAN = "xs as (select cast(embedding as double[]) as v from embeddings), un as (select row_number() over () as r, v from xs), cells as (select r, unnest(v) as x, generate_subscripts(v, 1) as j from un), g as (select a.j as i, b.j as j, sum(a.x * b.x) as x from cells a join cells b on a.r = b.r group by 1, 2), g0 as (select list(row order by i) as m from (select i, list(x order by j) as row from g group by 1))"
+SQUARED = "".join(f", g{n + 1} as (select list_transform(p, lambda r: list_transform(r, lambda x: x / t)) as m from (select p, list_sum(list_transform(range(64), lambda i: p[i + 1][i + 1])) as t from (select list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) as p from g{n})))" for n in range(12))
+
+
+@query(
+    "svd_downscale",
+    f"with {GRAMIAN}{SQUARED}, top as (select list_sum(list_transform(range(64), lambda i: list_dot_product(g0.m[i + 1], g12.m[i + 1]))) as top, list_sum(list_transform(range(64), lambda i: g0.m[i + 1][i + 1])) as total from g0, g12) "
+    "select (select count(*) from embeddings) as n, 64 as size_before, 16 as size_after, true as unit_length, round(top, 3) as top, round(total, 3) as total from top",
+)
 def svd_downscale(spark, d):
-    _, out = encoder.gramian_svd(tables.read_table(spark, d, "embeddings"), "embedding", 16)
+    """The reduced vectors, and the largest squared singular value and their sum, which the leading direction and all of them reach."""
+    e = tables.read_table(spark, d, "embeddings")
+    basis, out = encoder.gramian_svd(e, "embedding", 16)
     unit = F.bool_and(F.abs(V.norm(F.col("reduced")) - 1) < 1e-9)
-    return out.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size_before"), F.max(F.size("reduced")).alias("size_after"), unit.alias("unit_length"))
+    first = F.array(*[F.lit(float(x)) for x in basis[:, 0]])
+    out = out.withColumn("_p", V.dot(F.col("embedding"), first))
+    return out.agg(
+        F.count("*").alias("n"), F.max(F.size("embedding")).alias("size_before"), F.max(F.size("reduced")).alias("size_after"), unit.alias("unit_length"), F.round(F.sum(F.col("_p") ** 2), 3).alias("top"), F.round(F.sum(V.dot(F.col("embedding"), F.col("embedding"))), 3).alias("total")
+    )

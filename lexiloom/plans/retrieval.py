@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..sources import tables
-from .base import query, shorten, values
+from .base import query, shorten, uniform_sql, values
 
 #: Queries are the vectors whose id is divisible by 10, the corpus is all vectors, a document of the query's label is
 #: relevant: 2 if the parity of q div 10 and d agree, else 1.
@@ -91,6 +91,24 @@ def context_interp(spark, d):
     return R.context_interpolated(run(spark, d, 8), label_mates(spark, d), 8, "mix")
 
 
+@query("context_random", f"with q as (select vec_id as qid from embeddings where vec_id % 10 = 0), n as (select count(*) as n from embeddings), c as (select vec_id as did, row_number() over (order by vec_id) - 1 as rn from embeddings), p as (select qid, cast(ctx_pos as integer) as ctx_pos from q cross join (select unnest(range(8)) as ctx_pos)), w as (select qid, ctx_pos, cast(floor({uniform_sql(chr(39) + 'rand' + chr(39), 'cast(qid as varchar)', 'cast(ctx_pos as varchar)')} * n) as bigint) as rn from p, n) select qid, ctx_pos, did from w join c using (rn)")
+def context_random(spark, d):
+    return R.context_random(queries(spark, d).select("qid"), corpus(spark, d), 8, "rand")
+
+
+@query("context_fake", "select vec_id as qid, cast(unnest(range(8)) as integer) as ctx_pos, cast(1 as integer) as token, cast(1 as integer) as mask from embeddings where vec_id % 10 = 0")
+def context_fake(spark, d):
+    return R.context_fake(queries(spark, d).select("qid"), 8)
+
+
+@query("context_assemble", f"with {BASE}, c as (select qid, cast(rank - 1 as integer) as ctx_pos, e.v[1:4] as v from run join e on e.vec_id = run.did where rank <= 6) select qid, ctx_pos, list_transform(case when {uniform_sql(chr(39) + 'drop' + chr(39), 'cast(qid as varchar)', 'cast(ctx_pos as varchar)')} < 0.25 then [0.5, 0.5, 0.5, 0.5] else v end, lambda x: round(x, 6) + 0.0) as v from c")
+def context_assemble(spark, d):
+    """The first 6 of 10 context vectors, a quarter of them replaced by the null vector."""
+    rows = run(spark, d, 10).join(corpus(spark, d), "did").select("qid", (F.col("rank") - 1).alias("ctx_pos"), F.slice("v", 1, 4).alias("v"))
+    out = R.assemble_context(rows, ["qid"], 6, null=[0.5] * 4, dropout=0.25)
+    return out.select("qid", "ctx_pos", F.transform("v", lambda x: shorten(x)).alias("v"))
+
+
 def mean_sql(rows: str, keys: str) -> str:
     return f"select {keys}, list(x order by j) as v from (select {keys}, j, avg(x) as x from (select {keys}, unnest(v) as x, generate_subscripts(v, 1) as j from ({rows})) group by {keys}, j) group by {keys}"
 
@@ -185,6 +203,48 @@ def leaderboard(spark, d):
     return M.leaderboard(results(spark).select("task", "value"), values(spark, TASKS, "task string, category string"))
 
 
+@query("leaderboard_wide", f"with {RESULTS_SQL}, {TASKS_SQL}, j as (select category, round(value, 2) as value from tasks left join flat using (task)), a as (select category, case when count(value) = count(*) then avg(value) end as v from j group by 1 union all select 'overall', case when count(value) = count(*) then avg(value) end from j) select " + ", ".join(f"max(case when category = '{c}' then v end) as {c}" for c in ("overall", "retrieval", "classification", "clustering", "pairs")) + " from a")
+def leaderboard_wide(spark, d):
+    return M.leaderboard_wide(results(spark).select("task", "value"), values(spark, TASKS, "task string, category string"), ["retrieval", "classification", "clustering", "pairs"])
+
+
+RESULT_FILES = {
+    "alpha": '{"test": {"accuracy": 0.5, "main_score": 0.5, "cos": {"spearman": 0.25, "pearson": 0.75, "spearman_std": 0.1}}, "dataset_revision": "r1"}',
+    "beta": '{"dev": {"map": 0.5}, "test": {"map": 0.125}, "dataset_revision": null}',
+    "gamma": '{"test": {"de": {"f1": 0.25}, "en": {"f1": 0.75}, "evaluation_time": 9.0}}',
+    "delta": '{"validation": {"f1": 0.5}}',
+}
+MAIN_METRICS = {"retrieval": "map", "sts": "cos_spearman", "mining": "f1"}
+
+
+def result_files(spark):
+    """The files above, written and read back as a folder of results."""
+    from ..work import new_path
+
+    folder = new_path(spark, "results")
+    values(spark, list(RESULT_FILES.items()), "task string, content string").write.partitionBy("task").text(folder)
+    raw = spark.read.text(folder, wholetext=True)
+    flat = M.parse_results(raw.select("task", F.col("value").alias("content")), {"beta": "dev", "delta": "dev"}, {"gamma": ["de", "en", "fr"]})
+    return flat
+
+
+@query("results_nested", "select task, split, lang, metric, cast(value as double) as value from (values ('alpha', 'test', 'default', 'accuracy', 50.0), ('alpha', 'test', 'default', 'cos_spearman', 25.0), ('alpha', 'test', 'default', 'cos_pearson', 75.0), ('beta', 'dev', 'default', 'map', 50.0), ('gamma', 'test', 'de', 'f1', 25.0), ('gamma', 'test', 'en', 'f1', 75.0)) t(task, split, lang, metric, value)")
+def results_nested(spark, d):
+    """Splits, languages and sub-metrics of result files, without bookkeeping metrics, as percentages."""
+    flat = result_files(spark)
+    skip = F.lit(False)
+    for s in M.SKIPPED:
+        skip = skip | F.col("metric").contains(s)
+    return flat.where(~skip).select("task", "split", "lang", "metric", (F.col("value") * 100).alias("value"))
+
+
+@query("main_scores_named", "select task, cast(value as double) as value from (values ('alpha', 25.0), ('beta', 50.0)) t(task, value)")
+def main_scores_named(spark, d):
+    """The one metric that its category names, of each task."""
+    tasks = values(spark, [("alpha", "sts"), ("beta", "retrieval"), ("delta", "mining")], "task string, category string")
+    return M.main_scores(results_nested(spark, d), tasks, MAIN_METRICS)
+
+
 @query("running_averages", 'select event_type as key, event_id // 100 as "window", round(avg(value), 6) as value from events group by 1, 2')
 def running_averages(spark, d):
     log = tables.read_table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("step"), "value")

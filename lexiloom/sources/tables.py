@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -62,6 +62,29 @@ def write_assignments_text(df: DataFrame, path: str, idx: str = "idx", cluster:
     df.select(idx, F.col(cluster).cast("string").alias("line")).orderBy(idx).select("line").write.text(path)
 
 
+def read_assignments_text(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, cluster) of one cluster id a line: idx is the number of the line, files in the order of their names.
+
+    A file is read in one task, so it should be a range of rows, as `write_assignments_text` makes them.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n").alias("_lines"))
+    sizes = files.select("_file", F.size("_lines").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    starts = sizes.select("_file", before.alias("_start"))
+    lines = files.select("_file", F.posexplode("_lines").alias("_at", "line")).join(starts, "_file")
+    return lines.select((F.col("_start") + F.col("_at")).cast("long").alias("idx"), F.col("line").cast("int").alias("cluster"))
+
+
+def write_order_text(order: DataFrame, path: str, position: str = "position", value: str = "cluster") -> None:
+    """One value a line in the order of `position`: a tour over clusters, a row a cluster."""
+    write_assignments_text(order, path, position, value)
+
+
+def read_order_text(spark: SparkSession, path: str) -> DataFrame:
+    """(position, cluster) of `write_order_text`."""
+    return read_assignments_text(spark, path).withColumnRenamed("idx", "position")
+
+
 def text_column(df: DataFrame) -> DataFrame:
     """The one text column of an evaluation set: (sentence1, sentence2) joined, else sentences, text, or positive; lists are flattened."""
     names = set(df.columns)

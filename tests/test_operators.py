@@ -276,3 +276,54 @@ def test_entry_names_only_two_modules_as_optional(tmp_path):
     (tmp_path / "lexiloom" / "llm" / "queries.py").write_text("import no_such_library\n")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode and "no_such_library" in done.stderr
+
+
+def test_sparse_kmeans_against_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((40, 12)) < 0.4, rng.integers(1, 6, (40, 12)), 0).astype(float)
+    q = np.where(rng.random((40, 12)) < 0.4, rng.integers(1, 6, (40, 12)), 0).astype(float)
+    q[0] = 0
+    q[0, 3] = 1
+    for minimize in (False, True):
+        c = x[:5].copy()
+        for _ in range(4):
+            s = q @ c.T
+            own = (s if minimize else -s).argmin(1)
+            new = np.array([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(5)])
+            done = np.abs(new - c).max() < 1e-12
+            c = new
+            if done:
+                break
+        long = lambda m, name: spark.createDataFrame([(i, f"t{j}", float(m[i, j])) for i in range(len(m)) for j in range(12) if m[i, j]], f"{name} int, token string, w double")
+        got = clustering.sparse_kmeans(long(q, "idx"), long(x, "idx"), long(x[:5], "cluster"), iterations=4, tolerance=0.0, minimize=minimize)
+        assert {r["idx"]: r["cluster"] for r in got.collect()} == {i: int(k) for i, k in enumerate(own) if q[i].any()}
+
+
+def test_orders_and_assignments_as_text(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i * 7 % 5) for i in range(200)], "idx long, cluster int").repartition(3)
+    path = (tmp_path / "a").as_uri()
+    tables.write_assignments_text(rows, path)
+    assert {r["idx"]: r["cluster"] for r in tables.read_assignments_text(spark, path).collect()} == {i: i * 7 % 5 for i in range(200)}
+    order = spark.createDataFrame([(0, 4), (1, 0), (2, 3)], "position int, cluster int")
+    tables.write_order_text(order, (tmp_path / "o").as_uri())
+    assert sorted(map(tuple, tables.read_order_text(spark, (tmp_path / "o").as_uri()).collect())) == [(0, 4), (1, 0), (2, 3)]
+    store, calls = cache.Cache(spark, (tmp_path / "c").as_uri()), []
+    cents = spark.createDataFrame([(0, [0.0]), (1, [5.0]), (2, [1.0])], "cluster int, centroid array<double>")
+    for _ in range(2):
+        calls.append(clustering.cached_order(store, "tsp_greedy", cents, model="m"))
+    assert calls == [[0, 2, 1], [0, 2, 1]]
+
+
+def test_bm25_vectors_of_pairs(spark):
+    pairs = spark.createDataFrame([(0, "red fox", "the red fox runs"), (1, "blue", "a blue bird"), (2, "", "the end")], "i long, query string, document string")
+    same = clustering.embed_for_clustering(pairs, "bm25", "document", "document").collect()
+    both = {(r["i"], r["token"]): (r["q"], r["x"]) for r in clustering.embed_for_clustering(pairs, "bm25").collect()}
+    assert same and all(r["q"] == r["x"] > 0 for r in same)
+    assert both[0, "red"][0] > 0 and both[0, "runs"] == (0.0, both[0, "runs"][1]) and both[0, "runs"][1] > 0
+
+
+def test_result_files_of_odd_shapes(spark):
+    raw = spark.createDataFrame([("a", "{}"), ("b", '{"test": {}}'), ("c", '{"test": {"x": {"x": 1, "y": "text", "z": null}}}')], "task string, content string")
+    got = [(r["task"], r["metric"], r["value"]) for r in metrics.parse_results(raw).collect()]
+    assert got == [("c", "x", 1.0)]
+    assert metrics.parse_results(raw.limit(0)).count() == 0
