@@ -1,45 +1,15 @@
-"""What the operators share: a work folder that all executors see, bounded samples, text helpers."""
+"""What the operators share: the work folder, joins with hot keys, bounded samples, a small regression."""
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_WORK_DIR = "/tmp/checkpoints"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a local one only where that setting is absent (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the work folder and read it back: the result survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lexiloom_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what `materialize` wrote, once nothing reads it any more."""
-    path = getattr(df, "_lexiloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
-
+from ..work import materialize, new_path, release, work_dir  # noqa: F401  the operators take them from here
 
 def join_back(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
     """Join rows with an aggregate over their own `key`, a long.

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .tokens import tokenizer
 
 ROWS_PER_SALT = 20_000
@@ -164,8 +164,11 @@ def pack(pieces: DataFrame, *, capacity: int, max_docs: int | None = None, max_c
         table = F.broadcast(table)
     out = ranked.join(table, (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")), "left")
     at = F.col("_rank") - F.col("_lo")
-    return out.select(
+    out = out.select(
         *kept.columns,
         (F.col("_bin") + F.floor(at / F.col("_per"))).cast("long").alias("sequence_id"),
         (F.col("_off") + at % F.col("_per") * F.col("length")).cast("long").alias("offset"),
     )
+    out = materialize(out, "packed")
+    release(rows)
+    return out

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, new_path, release
 
 SLICE_QUERIES = 4096
 BINS = 128
@@ -72,7 +72,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 10, slice_queries:
     their own. Scores must be under 2^62. An empty side gives an empty result.
     """
     spark = corpus.sparkSession
-    out_schema = "query_id long, vec_id long, score long"
+    path, written = new_path(spark, "top-k"), False
     queries, corpus = materialize(queries, "queries"), materialize(corpus, "corpus")
     # the largest norm bounds every score: |q . x| <= |q| |x|
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -80,20 +80,21 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 10, slice_queries:
     n = queries.count()
     slices = -(-n // slice_queries) if reach is not None else 0
     order = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, slices)))
-    found = None
     for i in range(slices):
-        held = queries.where(order == i).select("vec_id", "v").collect()  # about slice_queries rows
-        if not held:
+        held = queries.where(order == i).select("vec_id", "v").toArrow()  # about slice_queries rows
+        if not held.num_rows:
             continue
-        part = Slice([r[0] for r in held], [r[1] for r in held])
+        part = Slice(held["vec_id"].to_pylist(), held["v"].to_pylist())
         bounds = _select(spark, part, corpus, k, float(reach))
-        rows = _passing(spark, part, corpus, k, bounds).withColumn("_q", F.lit(i))
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = found.select("query_id", "vec_id", "score", "_pos")
-    rank = F.row_number().over(Window.partitionBy("query_id", "_pos").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rows = _passing(spark, part, corpus, k, bounds)
+        rank = F.row_number().over(Window.partitionBy("query_id", "_pos").orderBy(F.desc("score"), "vec_id"))
+        # a slice's result is written, so that no plan grows with the number of queries
+        rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        written = True
+    for x in (queries, corpus):
+        release(x)
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 
 
 def _select(spark, part: Slice, corpus: DataFrame, k: int, reach: float) -> np.ndarray:
