@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 from collections.abc import Callable
 
@@ -24,14 +26,18 @@ def join_back(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
 _caches: dict[str, Callable[[], None]] = {}
 
 
-def only_cache(owner: str, drop: Callable[[], None]) -> None:
-    """Worker processes outlive an operator: when one takes up its cache, the caches of the others go."""
+def only_cache(owner: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Worker processes outlive an operator: when one takes up its cache, the caches of the others go, and their memory back to the system."""
     if _caches.keys() != {owner}:
         for name, clear in list(_caches.items()):
             if name != owner:
                 clear()
                 del _caches[name]
         _caches[owner] = drop
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim is not None:
+            trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

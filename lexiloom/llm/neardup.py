@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binomial_tail, join_back, materialize, release
+from .common import binomial_tail, join_back, materialize, only_cache, release
 from .components import components
 
 HASHES = 128
@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     n_bands, n_rows = banding(threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only_cache("near-duplicates")
         for batch in batches:
             n, hi, lo, sigs = [], [], [], []
             for t in batch["t"]:

@@ -36,6 +36,7 @@ LEAST_TIE = 0.02
 NEIGHBOURS = 64
 SHARPNESS = 1.05
 BLOCK, COMMON = 16, 0.2
+SEEN = 5000  # texts whose verdict is kept for copies
 SLACK = 1e-11  # of sums in another order
 TERM_ROWS = 50_000  # rows of one batch to Spark
 
@@ -142,7 +143,7 @@ class _Lookup:
 
 class _Voter:
     def __init__(self, m: ToxicityModel):
-        self.m = m
+        self.idf, self.neighbours, self.beta, self.silent = m.idf, m.neighbours, m.beta, m.silent  # the cells live on in the index only
         self.lookup = _Lookup(m.vocabulary)
         self.index = BlockMaxIndex(*m.cells, m.ids, len(m.vocabulary))
         self.y, self.w = m.labels, m.weights
@@ -152,10 +153,10 @@ class _Voter:
     def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary positions and unit TF-IDF weights of a whole text."""
         pos, counts = self.lookup.counts(text)
-        return pos, unit(pos, counts, self.m.idf)
+        return pos, unit(pos, counts, self.idf)
 
     def vote(self, pos: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, list, list]:
-        found, cos = self.index.nearest(pos, w, self.m.neighbours, without)
+        found, cos = self.index.nearest(pos, w, self.neighbours, without)
         pull = self.w[found] / (SHARPNESS - np.minimum(cos, 1.0))
         raw = (float((pull * self.y[found]).sum()) + self.prior) / (float(pull.sum()) + 1.0)
         return raw, self.index.ids[found[:5]].tolist(), [round(float(c), 6) for c in cos[:5]]
@@ -164,14 +165,14 @@ class _Voter:
         key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         out = self.seen.get(key)
         if out is None:
-            if len(self.seen) > 20_000:
+            if len(self.seen) > SEEN:
                 self.seen.clear()
             pos, w = self.query(text)
             if len(pos):
                 raw, ids, cos = self.vote(pos, w)
-                out = float(calibrate(np.array([raw]), self.m.beta)[0]), ids, cos
+                out = float(calibrate(np.array([raw]), self.beta)[0]), ids, cos
             else:
-                out = self.m.silent, [], []
+                out = self.silent, [], []
             self.seen[key] = out
         return out
 
