@@ -229,6 +229,36 @@ def test_secret_spans(spark):
     assert secrets.find_secrets(df.limit(0), secrets.fit_markov(df.limit(0))).count() == 0
 
 
+def plain_markov(m, t, base):
+    """Spans of the character model in plain Python."""
+    out = []
+    for x in re.finditer(secrets.TOKEN, t or ""):
+        if not re.search("[A-Za-z]", x[0]) or any(b[0] < x.end() and x.start() < b[2] for b in base):
+            continue
+        score, at = 0.0, 0
+        for c in x[0]:
+            code = secrets.ALPHABET.index(c) + 1
+            score, at = score + float(f"{m.ratios[at * secrets.STATES + code]:.9g}"), code
+        if score > m.threshold:
+            out.append((x.start(), 3, x.end(), "markov"))
+    return out
+
+
+def test_markov_spans_against_plain_code(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    many = " ".join(f"token=abc{i:06d} ü Zq7Rk2Xw9Lm4Tv8B{i:04d}" for i in range(5000))  # a very long text with very many matches
+    docs = docs.unionByName(spark.createDataFrame([(-1, many), (-2, "wordy_identifier_name " * 3000)], DOCS))
+    model = secrets.fit_markov(docs)
+    rows = secrets.find_secrets(docs, model).collect()
+    found = 0
+    for r in rows:
+        base = brute_spans(r["text"])
+        want = sorted(base + plain_markov(model, r["text"], base))
+        assert [tuple(s) for s in r["secret_spans"]] == want, r["doc_id"]
+        found += len(want) - len(base)
+    assert found > 0
+
+
 def test_secret_scan_has_no_python(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh")], DOCS)
     plan = secrets.find_secrets(df.where("doc_id > 0"), secrets.fit_markov(df))._jdf.queryExecution().toString()
@@ -527,3 +557,25 @@ def test_importance_of_a_branch_is_composed(spark):
     assert abs(tree["body/div.foot1"] - sum(inner) / 4) < 1e-9 and tree["body/div.foot1/p"] > 0.3 > tree["body/div.foot1"]
     assert abs(tree["body"] - (0.81 * sum(inner) + 0.81 * 3 * tree["body/div.text/p"]) / (0.81 * 7)) < 1e-9
     assert htmltext.extract(df).where("page_id = 3").first()["main_text"] == "Own words of page 3\nand more of 3\nand again 3"
+
+
+def test_token_file_with_clashing_columns(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(2, "b", "x", 7, 8), (1, "a", "y", 7, 8)], "doc_id long, text string, t string, part int, seq int")
+    binary.write_tokens(df, (tmp_path / "f").as_uri(), tokenizer_path=path, end_id=2)
+    assert [r["doc_id"] for r in sorted(binary.read_tokens(spark, (tmp_path / "f").as_uri()).collect(), key=lambda r: r["start"])] == [1, 2]
+
+
+@pytest.mark.parametrize("fit, score, label", [(quality.fit_quality, quality.score_quality, "quality"), (toxicity.fit_toxicity, toxicity.score_toxicity, "toxic")])
+def test_repeated_ids_count_once(fit, score, label, spark):
+    """Of rows that repeat an id the smallest text and label count, in whatever order they come."""
+    texts = [(i, f"kind words number{i} fine day {'calm ' * (i % 4)}") for i in range(30)] + [(i, f"rude noise number{i} {'vile ' * (1 + i % 4)}") for i in range(30, 60)]
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)] + [(40, 0)] * 2, f"doc_id long, {label} int")
+    once = [(i, t) for i, t in texts]
+    more = [(i, "zzz " + t) for i, t in texts[::-1]]
+    a = fit(spark.createDataFrame(once, DOCS).repartition(2), labels)
+    b = fit(spark.createDataFrame(more + once, DOCS).repartition(3), labels)
+    probe = spark.createDataFrame(once, DOCS)
+    col = "quality_score" if label == "quality" else "toxicity_score"
+    x, y = ({r["doc_id"]: r[col] for r in score(probe, m).collect()} for m in (a, b))
+    assert a.fitted and b.fitted and all(abs(x[i] - y[i]) < (1e-9 if label == "quality" else 0.2) for i in x)

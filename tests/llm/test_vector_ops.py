@@ -137,3 +137,13 @@ def test_links_of_pairs_at_the_threshold(spark):
     assert all(got[3 * i + 1][0]["component_id"] == got[3 * i][0]["component_id"] for i in range(150) if want[3 * i + 1] == [r["n_links"] for r in got[3 * i + 1]])
     assert [r["component_id"] for r in got[7000]] == [0, 0] and got[9][0]["component_id"] == 0  # one id ties its vectors
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in got[None]] == [(0, None, True)]
+
+
+def test_topk_with_repeated_ids_and_ties(spark):
+    """Rows that repeat an id are candidates of their own, but never their own query's; ties go to the smaller id."""
+    rows = [(1, [1, 0]), (1, [1, 0]), (2, [1, 0]), (2, [1, 0]), (5, [1, 0]), (9, [0, 1]), (9, [0, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    got = topk.top_k(df.where("vec_id = 5"), df, k=4).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+    both = topk.top_k(df.where("vec_id = 1"), df, k=2).collect()  # two rows of one query
+    assert sorted((r["rank"], r["vec_id"]) for r in both) == [(1, 2), (1, 2), (2, 2), (2, 2)]
