@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ _written: list[tuple[SparkSession, str]] = []
 def work_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`. Only a local master may go without that setting, as tests do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or LOCAL_WORK_DIR).rstrip("/")
 
