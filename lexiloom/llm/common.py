@@ -8,6 +8,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,15 @@ def only_cache(owner: str, drop: Callable[[], None] = lambda: None) -> None:
                 del _caches[name]
         _caches[owner] = drop
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-        if trim is not None:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, which Arrow's pool and glibc keep otherwise: workers idle beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binomial_tail, join_back, materialize, only_cache, release
+from .common import binomial_tail, give_back, join_back, materialize, only_cache, release
 from .components import components
 
 HASHES = 128
@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         only_cache("near-duplicates")
         for batch in batches:
+            give_back()  # what the batch before has left
             n, hi, lo, sigs = [], [], [], []
             for t in batch["t"]:
                 s = shingles(t, width)
@@ -336,6 +337,8 @@ def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame, floor: list[in
             p, q = of(x), of(y)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both > 0 and denominator * both >= numerator * (len(p) + len(q) - both))
+        memo.clear()
+        give_back()
         return pd.Series(out, dtype=bool)
 
     a = full.select(F.col("id").alias("u"), F.col("t").alias("tu"))

@@ -34,7 +34,7 @@ DISPUTED = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028
 CUT = "\x02"
 BORDER = rf"([{_LATIN}])([{_MARKS}])".replace(r"\u", r"\x{").replace(r"\x{012f", r"\x{12f}").replace(r"\x{0131", r"\x{131}").replace(r"\x{024f", r"\x{24f}")
 PORTION = 10_000_000  # characters cut and numbered at a time
-MEMO = 600_000
+MEMO = 400_000
 LONGEST = 64  # longer chunks are not kept
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fit_logistic, materialize, only_cache, release, sigmoid
+from .common import bounded_sample, fit_logistic, give_back, materialize, only_cache, release, sigmoid
 
 WORD = re.compile(r"\w+")
 STEM = 7
@@ -312,6 +312,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
 
     @F.pandas_udf("score double, ids array<long>, cosines array<double>")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        give_back()  # what the batch before has left
         voter = _cached(key, box)
         rows = [voter.judge(t) for t in texts]
         return pd.DataFrame({"score": [r[0] for r in rows], "ids": [r[1] for r in rows], "cosines": [r[2] for r in rows]})
