@@ -327,3 +327,19 @@ def test_result_files_of_odd_shapes(spark):
     got = [(r["task"], r["metric"], r["value"]) for r in metrics.parse_results(raw).collect()]
     assert got == [("c", "x", 1.0)]
     assert metrics.parse_results(raw.limit(0)).count() == 0
+
+
+def test_sharded_runs_all_shards_in_the_same_jobs(spark):
+    from lexiloom import work
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), rng.normal(size=3).tolist() if i % 50 else None) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "i long, q array<double>, x array<double>")
+    before = len(work._written)
+    out = clustering.sharded(pairs, 4, 10, 2)
+    assert len(work._written) - before == 1  # 40 shards, one table
+    got = {r["i"]: (r["shard"], r["cluster"]) for r in out.collect()}
+    assert len(got) == 400 and {i for i, (_, c) in got.items() if c < 0} == set(range(0, 400, 50))
+    assert all(s * 3 <= c < (s + 1) * 3 for s, c in got.values() if c >= 0) and len({s for s, _ in got.values()}) == 40
+    by_shard = {shard_bytes: {tuple(r) for r in clustering.sharded(pairs, 4, 150, 2, shard_bytes=shard_bytes).collect()} for shard_bytes in (0, 8 * 6 * 130, 1 << 20)}
+    assert by_shard[0] == by_shard[8 * 6 * 130] == by_shard[1 << 20]  # in turn, some in turn, in tasks
