@@ -579,3 +579,21 @@ def test_repeated_ids_count_once(fit, score, label, spark):
     col = "quality_score" if label == "quality" else "toxicity_score"
     x, y = ({r["doc_id"]: r[col] for r in score(probe, m).collect()} for m in (a, b))
     assert a.fitted and b.fitted and all(abs(x[i] - y[i]) < (1e-9 if label == "quality" else 0.2) for i in x)
+
+
+def test_toxicity_queries_together():
+    rng = np.random.default_rng(11)
+    x = rng.random((300, 40)) * (rng.random((300, 40)) < np.linspace(0.02, 0.9, 40))
+    x[:, 0] += 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, cols = np.nonzero(x)
+    index = toxicity.BlockMaxIndex(rows, cols, x[rows, cols], np.arange(300), 40)
+    queries = [(np.flatnonzero(q), q[q > 0] / np.linalg.norm(q)) for q in x[:20]] + [(np.zeros(0, int), np.zeros(0)), (np.array([39]), np.ones(1))]
+    together = index.nearest_many(queries, 7)
+    for (at, w), (found, cos) in zip(queries, together):
+        alone, same = index.nearest(at, w, 7)
+        assert found.tolist() == alone.tolist() and cos.tolist() == same.tolist()
+        exact = x[:, at] @ w
+        assert np.allclose(cos, np.sort(exact[exact > 0])[::-1][:7], atol=1e-6)
+    texts = ["", "Aa\x1cbb_7-C'd\x0be.\x7ff", "Öl\x85é x\u00a0y", "İΑΣ'Α ß", None]
+    assert [toxicity.words(t) for t in texts] == [toxicity.WORD.findall((t or "").lower()) for t in texts]
