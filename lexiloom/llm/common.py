@@ -69,18 +69,26 @@ def bounded_sample(df: DataFrame, key: str, bound: int, count: int) -> DataFrame
     return df.orderBy(h, key).limit(bound)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; the first coefficient is the intercept."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Weighted logistic regression by Newton steps, halved until they lower the loss; the first coefficient is the intercept."""
     a = np.hstack([np.ones((len(x), 1)), x])
     beta = np.zeros(a.shape[1])
     penalty = np.eye(a.shape[1]) * ridge
     penalty[0, 0] = 1e-9
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + b @ penalty @ b / 2)
+
+    now = loss(beta)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -35, 35)))
+        p = sigmoid(a @ beta)
         grad = a.T @ (weight * (y - p)) - penalty @ beta
         hess = (a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + penalty
         step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -5, 5)
+        while (then := loss(beta + step)) > now + 1e-12 * abs(now) and np.abs(step).max() >= 1e-8:
+            step = step / 2
+        beta, now = beta + step, then
         if np.abs(step).max() < 1e-8:
             break
     return beta

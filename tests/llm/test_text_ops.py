@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiloom.llm import binary, htmltext, neardup, packing, quality, secrets, sentencepieces, toxicity
+from lexiloom.llm import binary, common, htmltext, neardup, packing, quality, secrets, sentencepieces, toxicity
 from lexiloom.llm.components import components
 from lexiloom.llm.tokens import MemoTokenizer
 
@@ -597,3 +597,14 @@ def test_toxicity_queries_together():
         assert np.allclose(cos, np.sort(exact[exact > 0])[::-1][:7], atol=1e-6)
     texts = ["", "Aa\x1cbb_7-C'd\x0be.\x7ff", "Öl\x85é x\u00a0y", "İΑΣ'Α ß", None]
     assert [toxicity.words(t) for t in texts] == [toxicity.WORD.findall((t or "").lower()) for t in texts]
+
+
+def test_logistic_reaches_the_least_loss_far_from_zero():
+    rng = np.random.default_rng(7)
+    for shift in (0, 10, 20):
+        y = np.arange(40) % 2.0
+        x = rng.normal(size=(40, 2)) + (2 * y - 1)[:, None] + shift
+        a, weight = np.hstack([np.ones((40, 1)), x]), np.where(y == 1, 1.0, 30.0)
+        beta = common.fit_logistic(x, y, weight)
+        slope = a.T @ (weight * (y - common.sigmoid(a @ beta))) - np.array([1e-9, 1e-2, 1e-2]) * beta
+        assert np.abs(slope).max() < 1e-6
